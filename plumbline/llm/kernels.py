@@ -21,6 +21,9 @@ U64 = np.uint64
 SLICE_BYTES = 1 << 19
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: White space, control bytes and ASCII punctuation: what is left are letters, digits and non-ASCII bytes.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -86,13 +89,25 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         lo = hi
 
 
-def word_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start byte, end byte and row of every word."""
+def folded(buf: np.ndarray) -> np.ndarray:
+    """Lower case for ASCII and the Latin-1 letters; the length stays."""
+    out = LOWER[buf]
+    if len(buf) > 1:
+        after = np.flatnonzero(buf[:-1] == 0xC3) + 1
+        upper = after[(buf[after] >= 0x80) & (buf[after] <= 0x9E) & (buf[after] != 0x97)]
+        out[upper] += 0x20
+    return out
+
+
+def word_spans(
+    buf: np.ndarray, offsets: np.ndarray, breaks: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start byte, end byte and row of every word; ``breaks`` marks the bytes between words."""
     n = len(buf)
     if not n:
         none = np.zeros(0, np.int64)
         return none, none, none
-    space = SPACE[buf]
+    space = (SPACE if breaks is None else breaks)[buf]
     before, after = np.empty(n, bool), np.empty(n, bool)
     before[1:], after[:-1] = space[:-1], space[1:]
     before[0] = after[-1] = True
@@ -113,9 +128,11 @@ def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
         return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(U64))
 
 
-def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(
+    buf: np.ndarray, offsets: np.ndarray, breaks: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Start byte, end byte, row and hash of every word."""
-    start, end, row = word_spans(buf, offsets)
+    start, end, row = word_spans(buf, offsets, breaks)
     return start, end, row, span_hashes(buf, start, end)
 
 
