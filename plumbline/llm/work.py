@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if rows x bytes a row stay below this.
 BROADCAST_BYTES = 32 << 20
+ROWS_AT_ONCE = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,12 +40,13 @@ def sized(df: DataFrame, bytes_per_row: int) -> DataFrame:
     return F.broadcast(df) if df.count() * bytes_per_row <= BROADCAST_BYTES else df
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """Apply ``fn`` to each Arrow batch."""
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = ROWS_AT_ONCE) -> DataFrame:
+    """Apply ``fn`` to each Arrow batch, ``ROWS_AT_ONCE`` rows at a time: what it needs besides is bounded by that."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield fn(batch)
+            for lo in range(0, batch.num_rows, rows):
+                yield fn(batch.slice(lo, rows))
 
     return df.mapInArrow(run, schema)
 
