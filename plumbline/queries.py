@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
+from .plans.catalogue import FLAGSHIP, QUERIES, SQL
 
+__all__ = ["FLAGSHIP", "oracle_sql", "queries"]
 
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)
