@@ -172,6 +172,6 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, region: int = REGION) -> Dat
     start = F.expr("sum(size) over (partition by bin_id order by size desc, doc_id, piece rows unbounded preceding) - size")
     placed = placed.select("doc_id", "piece", "size", "bin_id", start.cast("int").alias("start"))
     whole = every.where(f"size = {capacity}")
-    whole = whole.select("doc_id", "piece", "size", F.concat_ws("-", F.lit("full"), "doc_id", "piece").alias("bin_id"), F.lit(0).alias("start"))
+    whole = whole.select("doc_id", "piece", "size", F.concat_ws("-", F.lit("full"), F.monotonically_increasing_id()).alias("bin_id"), F.lit(0).alias("start"))
     empty = every.where("size = 0").select("doc_id", "piece", "size", F.lit("-1").alias("bin_id"), F.lit(0).alias("start"))
     return placed.unionByName(whole).unionByName(empty)

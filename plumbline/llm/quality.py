@@ -187,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     ok = labels.where("doc_id is not null and quality is not null").select("doc_id", "quality")
     chosen = ok.orderBy(F.xxhash64("doc_id", F.lit("fit")), "doc_id", "quality").limit(sample)
     chosen = F.broadcast(chosen.select(F.col("doc_id").alias("label_id"), F.col("quality").alias("label")))
-    docs = _with_columns(docs)
+    docs = _with_columns(docs).select("doc_id", "text", "lang", "source")
     rows = docs.join(chosen, docs["doc_id"] == chosen["label_id"]).select("text", "lang", "source", "label", "label_id")
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
