@@ -20,7 +20,7 @@ def parse_index(lines: DataFrame) -> DataFrame:
     at = lambda i: bounded(F.col("p"), i)
     return rows.select(
         at(0).alias("sta"), at(1).cast("double").alias("lat"), wrap_lon(at(2).cast("double")).alias("lon"), at(3).cast("double").alias("hgt"),
-        F.to_timestamp(at(7), F.lit("yyyy-MM-dd")).alias("dtbeg"), F.to_timestamp(at(8), F.lit("yyyy-MM-dd")).alias("dtend"),
+        F.to_timestamp(at(7), "yyyy-MM-dd").alias("dtbeg"), F.to_timestamp(at(8), "yyyy-MM-dd").alias("dtend"),
         at(9).alias("dtmod"), at(10).cast("long").alias("num_sol"), F.coalesce(F.trim(at(11)), F.lit("")).alias("sta_orig_name"),
     )
 
