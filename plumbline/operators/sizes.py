@@ -13,6 +13,12 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def leaf_bytes(df: DataFrame) -> int:
+    """The sizes of all relations a plan reads; unlike the estimate of its result, joins don't multiply it."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
 def small_or_shuffled(df: DataFrame, limit: int = LIMIT_BYTES) -> DataFrame:
     """``df`` with a broadcast hint while its estimated size is within the limit, else for a shuffled join."""
     return F.broadcast(df) if plan_bytes(df) <= limit else df

@@ -12,41 +12,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import finite, is_finite
+from .quantiles import fits, matched, percentiles
 
 NMAD = 1.4826
 GATE = 3.0
 
 
-def _matched(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Join a small summary back, nulls in the keys being equal; with no keys it is one row."""
-    renamed = right.toDF(*[f"__{c}" if c in by else c for c in right.columns])
-    if not by:
-        return left.crossJoin(F.broadcast(renamed))
-    on = None
-    for c in by:
-        equal = left[c].eqNullSafe(renamed[f"__{c}"])
-        on = equal if on is None else on & equal
-    return left.join(renamed, on).drop(*[f"__{c}" for c in by])
-
-
 def with_med_nmad(df: DataFrame, value: str, by: Sequence[str] = (), prefix: str = "") -> DataFrame:
     """``df`` with the median and NMAD of its group in <prefix>median and <prefix>nmad."""
     v = finite(F.col(value))
-    med = df.groupBy(*by).agg(F.median(v).alias(f"{prefix}median"))
-    joined = _matched(df, med, by)
-    nmad = joined.groupBy(*by).agg(
-        F.first(f"{prefix}median").alias(f"{prefix}median"),
-        (F.lit(NMAD) * F.median(F.abs(v - F.col(f"{prefix}median")))).alias(f"{prefix}nmad"),
-    )
-    return _matched(df, nmad, by)
+    med = percentiles(df, v, by, {f"{prefix}median": 0.5})
+    joined = matched(df, med, by)
+    off = percentiles(joined, F.abs(v - F.col(f"{prefix}median")), by, {f"{prefix}nmad": 0.5})
+    return matched(joined, off, by).withColumn(f"{prefix}nmad", F.lit(NMAD) * F.col(f"{prefix}nmad"))
 
 
 def med_nmad(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    v = finite(F.col(value))
-    joined = _matched(df, df.groupBy(*by).agg(F.median(v).alias("median")), by)
-    return joined.groupBy(*by).agg(
-        F.count(v).alias("n"), F.first("median").alias("median"), (F.lit(NMAD) * F.median(F.abs(v - F.col("median")))).alias("nmad")
-    )
+    joined = with_med_nmad(df, value, by)
+    return joined.groupBy(*by).agg(F.count(finite(F.col(value))).alias("n"), F.first("median").alias("median"), F.first("nmad").alias("nmad"))
 
 
 def resid_stats(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -70,12 +53,15 @@ def error_report(df: DataFrame, value: str, by: Sequence[str] = (), k: float = G
     joined = with_med_nmad(df, value, by)
     used = F.when(gate(v, F.col("median"), F.col("nmad"), k), v)
     n, n_used = F.count(finite(v)), F.count(used)
-    return joined.groupBy(*by).agg(
+    wanted = {"le90": 0.9, "le95": 0.95}
+    small = fits(df)
+    tails = [F.percentile(F.abs(used), F.lit(q)).alias(name) for name, q in wanted.items()] if small else []
+    moments = joined.groupBy(*by).agg(
         n.alias("n"), F.first("median").alias("median"), F.first("nmad").alias("nmad"), n_used.alias("n_used"),
         (n - n_used).alias("n_outliers"), F.avg(used).alias("mean"), F.stddev_samp(used).alias("std"),
-        F.sqrt(F.avg(used * used)).alias("rmse"), F.percentile(F.abs(used), F.lit(0.9)).alias("le90"),
-        F.percentile(F.abs(used), F.lit(0.95)).alias("le95"),
+        F.sqrt(F.avg(used * used)).alias("rmse"), *tails,
     )
+    return moments if small else matched(moments, percentiles(joined, F.abs(used), by, wanted), by)
 
 
 def robust_normalize(df: DataFrame, value: str, by: Sequence[str] = (), k: float = GATE, out: str = "inlier") -> DataFrame:
@@ -93,7 +79,8 @@ def ce90(df: DataFrame, dx: str, dy: str, by: Sequence[str] = (), k: float = GAT
     pairs = with_med_nmad(with_med_nmad(pairs, "dx", by, "x_"), "dy", by, "y_")
     keep = gate(F.col("dx"), F.col("x_median"), F.col("x_nmad"), k) & gate(F.col("dy"), F.col("y_median"), F.col("y_nmad"), k)
     used = F.when(keep, F.hypot("dx", "dy"))
-    return pairs.groupBy(*by).agg(F.count("dx").alias("n"), F.count(used).alias("n_used"), F.percentile(used, F.lit(0.9)).alias("ce90"))
+    counts = pairs.groupBy(*by).agg(F.count("dx").alias("n"), F.count(used).alias("n_used"))
+    return matched(counts, percentiles(pairs, used, by, {"ce90": 0.9}), by)
 
 
 TIERS = (0.1, 0.25, 0.5, 1.0, 2.5, 5.0)
@@ -170,7 +157,7 @@ def histogram(df: DataFrame, value: str, limit: float, bins: int = 41, by: Seque
 def stretch(df: DataFrame, value: str, quantiles: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Percentile limits, one column for each quantile: q_<per mille>."""
     v = finite(F.col(value))
-    return df.groupBy(*by).agg(*[F.percentile(v, F.lit(q)).alias(f"q_{round(q * 1000)}") for q in quantiles])
+    return percentiles(df, v, by, {f"q_{round(q * 1000)}": q for q in quantiles})
 
 
 def top_or_other(df: DataFrame, column: str, n: int = 5) -> DataFrame:

@@ -232,3 +232,20 @@ def test_summary_keeps_empty_segments(spark):
     rows = {r["segment"]: r for r in A.summarize(df).collect()}
     assert rows["3DEP NVA"]["n"] == 0 and rows["GNSS/OPUS"]["n"] == 2 and rows["GNSS/OPUS"]["n_valid"] == 1 and rows["ALL"]["n"] == 3
     assert rows["3DEP VVA"]["applies"] is True
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 997, 40_000])
+def test_bracketed_percentiles_are_the_exact_ones(spark, n):
+    from plumbline.operators import quantiles
+
+    rng = random.Random(n)
+    rows = [(rng.choice(["a", None, "b"]), rng.choice([rng.gauss(0, 1), rng.randint(0, 5), None])) for _ in range(n)] + [("empty", None)]
+    df = spark.createDataFrame([(g, float(v) if v is not None else None) for g, v in rows], "g string, v double")
+    wanted = {"p05": 0.05, "p50": 0.5, "p90": 0.9, "p100": 1.0}
+    for by in (["g"], []):
+        a = quantiles.bracketed(df, F.col("v"), by, wanted).collect()
+        b = quantiles.percentiles(df, F.col("v"), by, wanted).collect()
+        key = lambda r: str(r[0])
+        if by or any(x is not None for x in b[0]):
+            for x, y in zip(sorted(a, key=key), sorted(b, key=key), strict=True):
+                assert list(x) == [v if not isinstance(v, float) else pytest.approx(v, abs=1e-12) for v in y]
