@@ -19,8 +19,8 @@ def key_values(items: Sequence[str]) -> dict[str, str]:
     """NAME=PATH arguments; malformed or repeated names raise."""
     out: dict[str, str] = {}
     for item in items:
-        name, sep, path = item.partition("=")
-        if not (sep and name and path):
+        name, _, path = item.partition("=")
+        if not name or not path:
             raise ValueError(f"{item!r} isn't NAME=PATH")
         if name in out:
             raise ValueError(f"{name} is there twice")
@@ -60,12 +60,12 @@ def assess_main(argv: Sequence[str] | None = None, spark: SparkSession | None =
     """Products are cell tables with a grid in <path>.json."""
     p = argparse.ArgumentParser("assess-dem")
     p.add_argument("--control", required=True)
-    p.add_argument("--product", action="append", required=True, metavar="NAME=PATH")
-    p.add_argument("--source-crs", default="EPSG:6318")
-    p.add_argument("--target-crs", required=True)
+    p.add_argument("--product", metavar="NAME=PATH", required=True, action="append")
+    for name, given in (("target", None), ("source", "EPSG:6318")):
+        p.add_argument(f"--{name}-crs", required=given is None, default=given)
     p.add_argument("--out", required=True)
     how = p.add_mutually_exclusive_group()
-    how.add_argument("--method", default="linear", choices=("linear", "nearest"))
+    how.add_argument("--method", choices=["nearest", "linear"], default="linear")
     how.add_argument("--radius", type=float)
     p.add_argument("--require", action="append", default=[], help="sources that the control should hold")
     a = p.parse_args(argv)

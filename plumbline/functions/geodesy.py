@@ -39,12 +39,14 @@ def _sines(lon: Column, lat: Column) -> tuple[Column, Column, Column, Column]:
 
 def enu_to_ecef(e: Column, n: Column, u: Column, lon: Column, lat: Column) -> tuple[Column, Column, Column]:
     sl, cl, sp, cp = _sines(lon, lat)
-    return -sl * e - sp * cl * n + cp * cl * u, cl * e - sp * sl * n + cp * sl * u, cp * n + sp * u
+    outward = u * cp - n * sp  # away from the axis, in the meridian's plane
+    return outward * cl - e * sl, outward * sl + e * cl, u * sp + n * cp
 
 
 def ecef_to_enu(x: Column, y: Column, z: Column, lon: Column, lat: Column) -> tuple[Column, Column, Column]:
     sl, cl, sp, cp = _sines(lon, lat)
-    return -sl * x + cl * y, -sp * cl * x - sp * sl * y + cp * z, cp * cl * x + cp * sl * y + sp * z
+    outward = x * cl + y * sl
+    return y * cl - x * sl, z * cp - outward * sp, outward * cp + z * sp
 
 
 def _radii(lat: Column, el: Ellipsoid) -> tuple[Column, Column]:

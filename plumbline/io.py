@@ -19,14 +19,14 @@ def versions() -> dict[str, str]:
     return {"python": platform.python_version(), "spark": pyspark.__version__}
 
 
-def provenance(df: DataFrame, status: dict | None = None, command: str | None = None) -> dict:
+def provenance(df: DataFrame, fared: dict | None = None, made_by: str | None = None) -> dict:
     """Environment, frame, rows and rows by transform_id, missing ones included."""
     counts = {r[0] if r[0] is not None else "(missing)": r[1] for r in df.groupBy("transform_id").count().collect()}
     frames = [r[0] for r in df.select("frame_crs").distinct().collect()]
-    told = {k: v._asdict() if hasattr(v, "_asdict") else v for k, v in (status or {}).items()}
+    told = {k: v._asdict() if hasattr(v, "_asdict") else v for k, v in (fared or {}).items()}
     return {
         "environment": versions(), "target_crs": frames[0] if len(frames) == 1 else frames, "n_rows": sum(counts.values()), "transforms": counts,
-        "sources": told, "command": command, "written": dt.datetime.now(dt.UTC).isoformat(timespec="seconds"),
+        "sources": told, "command": made_by, "written": dt.datetime.now(dt.UTC).isoformat(timespec="seconds"),
     }
 
 
@@ -40,7 +40,7 @@ def export_crs(df: DataFrame, horizontal: str) -> str:
     return f"{horizontal}+{v['one'].removeprefix('EPSG:')}" if v["n"] == 1 and not v["unknown"] else horizontal
 
 
-def write(df: DataFrame, path: str, status: dict | None = None, command: str | None = None, single_file: bool = False) -> dict:
+def write(df: DataFrame, path: str, fared: dict | None = None, made_by: str | None = None, single_file: bool = False) -> dict:
     """Parquet or CSV by the path's ending, with a JSON file beside it; other endings raise.
 
     A Parquet table's provenance is also in ``_provenance`` columns' metadata of its schema, so it travels with each file.
@@ -48,7 +48,7 @@ def write(df: DataFrame, path: str, status: dict | None = None, command: str | N
     kind = Path(path).suffix.lower()
     if kind not in (".parquet", ".csv"):
         raise ValueError(f"can't write {kind or 'a path without an ending'}; use .parquet or .csv")
-    record = provenance(df, status, command)
+    record = provenance(df, fared, made_by)
     out = df.coalesce(1) if single_file else df
     if kind == ".parquet":
         tagged = out.withColumn("transform_id", F.col("transform_id").alias("transform_id", metadata={"provenance": json.dumps(record)}))

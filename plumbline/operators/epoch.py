@@ -119,7 +119,7 @@ def propagate(
         raise ValueError(f"{guard['movers']} rows would move in the plate-fixed frame {frame}")
     if guard["undated"] and on_missing_epoch == "raise":
         raise ValueError(f"{guard['undated']} rows that could move have no coordinate epoch")
-    velocity = [F.col(c) for c in ("vel_e", "vel_n", "vel_u")]
+    velocity = [F.col(f"vel_{axis}") for axis in "enu"]
     if plate_model is not None:
         plate = plate_model.velocity_enu(F.col("x"), F.col("y"), F.col("height"))
         need = ~own & ((dated & (dt != 0)) if static else F.lit(True))

@@ -9,8 +9,9 @@ from ..functions.core import is_finite
 from .spatial import radius_pairs
 
 RADIUS_KM, MIN_STATIONS, MAX_STATIONS, SPREAD_MM = 75.0, 3, 15, 4.0
-COMPONENTS = ("vel_e", "vel_n", "vel_u")
-LABELS = ("sta", "id", "station", "site")
+COMPONENTS = tuple(f"vel_{axis}" for axis in "enu")
+METHODS = ["idw", "median"]
+LABELS = "sta id station site".split()
 
 
 def label_column(df: DataFrame) -> str:
@@ -38,11 +39,10 @@ def interpolate_velocity(
 
     Points with too few stations keep their count and nearest station but no velocity.
     """
-    if method not in ("median", "idw"):
-        raise ValueError(f"unknown method {method!r}")
-    missing = [c for c in ("lon", "lat", *COMPONENTS) if c not in stations.columns]
-    if missing:
-        raise ValueError(f"stations lack {missing}")
+    if method not in METHODS:
+        raise ValueError(f"{method!r} is none of {METHODS}")
+    if lacking := {"lon", "lat", *COMPONENTS} - set(stations.columns):
+        raise ValueError(f"stations lack {sorted(lacking)}")
     label = label_column(stations)
     good = stations.select(F.col(label).alias("sta"), "lon", "lat", *COMPONENTS)
     for c in ("lon", "lat", *COMPONENTS):

@@ -6,6 +6,7 @@ groups with none of them stay, with n = 0 and null statistics.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -108,10 +109,10 @@ def _is(source: str, point_type: str | None = None) -> Predicate:
 
 #: label -> (rows, applies to surface models, applies to terrain models)
 SEGMENTS: dict[str, tuple[Predicate, bool, bool]] = {
-    "3DEP NVA": (_is("3dep", "NVA"), True, True),
-    "3DEP VVA": (_is("3dep", "VVA"), False, True),
-    "GNSS/OPUS": (_is("opus"), True, True),
     "NGS monument": (_is("ngs"), True, True),
+    "GNSS/OPUS": (_is("opus"), True, True),
+    "3DEP VVA": (_is("3dep", "VVA"), False, True),
+    "3DEP NVA": (_is("3dep", "NVA"), True, True),
 }
 ALL = "ALL"
 
@@ -122,7 +123,7 @@ def summarize(
     """A row for every (product, segment) and ALL, of residuals in dh_<product>_before; empty segments too."""
     segments = SEGMENTS if segments is None else segments
     if products is None:
-        products = [c[3:-7] for c in sampled.columns if c.startswith("dh_") and c.endswith("_before")]
+        products = [m[1] for m in (re.fullmatch("dh_(.+)_before", c) for c in sampled.columns) if m]
     spark = sampled.sparkSession
     masks = [F.when(F.coalesce(mask(), F.lit(False)), F.lit(label)) for label, (mask, _, _) in segments.items()]
     long = F.explode(F.array(*[F.struct(F.lit(p).alias("product"), F.col(f"dh_{p}_before").cast("double").alias("dh")) for p in products]))

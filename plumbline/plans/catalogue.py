@@ -52,7 +52,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-# ---- the mapping ------------------------------------------------------------------------------
+# the mapping
 
 
 def control(spark: SparkSession, d: str) -> DataFrame:
@@ -107,7 +107,7 @@ rep AS (SELECT {by}, count(v) AS n, any_value(med) AS median, any_value(nmad) AS
 
 _REPORT = "n, round(median,6) AS median, round(nmad,6) AS nmad, n_used, n_outliers, round(mean,6) AS mean, round(std,6) AS std, round(rmse,6) AS rmse, round(le90,6) AS le90, round(le95,6) AS le95"
 
-# ---- A: statistics ----------------------------------------------------------------------------
+# A: statistics
 
 
 @query(f"WITH {_residuals('plain')}, {spread_sql('l_returnflag')} SELECT l_returnflag, count(v) AS n, round(any_value(med),6) AS median, round(any_value(nmad),6) AS nmad FROM src JOIN nm USING (l_returnflag) GROUP BY l_returnflag")
@@ -193,7 +193,7 @@ def valid_fraction(spark, d):
     return rounded(A.valid_fraction(table(spark, d, "part"), ("p_size", "p_retailprice"), ["p_type"], zero_is_missing=True))
 
 
-# ---- T: time ----------------------------------------------------------------------------------
+# T: time
 
 
 @query(f"SELECT DISTINCT l_shipdate, round({DECYEAR.format('l_shipdate')}, 9) AS y FROM lineitem")
@@ -220,7 +220,7 @@ def cycle_date(spark, d):
     return table(spark, d, "orders").select(F.col("o_orderdate").cast("date").alias("day")).distinct().select("day", T.cycle_date(F.col("day")).alias("cycle"))
 
 
-# ---- F: text and JSON -------------------------------------------------------------------------
+# F: text and JSON
 
 
 @query("SELECT event_id, nullif(trim(json_extract_string(props, '$.k')), '') AS ngs_k, CAST(NULL AS VARCHAR) AS ngs_absent FROM events")
@@ -233,7 +233,7 @@ def json_falsy(spark, d):
     return table(spark, d, "events").select("event_id", X.json_truthy(F.col("props"), "k").alias("k"))
 
 
-_DATUMS = ["NAD 83(2011)", "NAD 83(1986)", "NAD 83(1992)", "NAD_83(HARN)", "NAD 83(FBN)", "NAD 83(NSRS2007)", "NAD 83(CORS96)", "NAD 83(2035)", "ITRF2016", "WGS84", "", "nad83(1994)"]
+_DATUMS = ["NAD 83(2011)", "NAD 83(1986)", "NAD 83(1992)", "NAD_83(HARN)", "NAD 83(FBN)", "NAD 83(NSRS2007)", "NAD 83(CORS96)", "WGS84", "NAD 83(2035)", "", "ITRF2016", "nad83(1994)"]
 _RULES = " ".join(f"WHEN contains(s, '{t}') THEN '{c}'" for t, c in X.REALIZATIONS)
 _PICK = "CASE " + " ".join(f"WHEN p_partkey % 13 = {i} THEN '{x}'" for i, x in enumerate(_DATUMS)) + " END"
 _DATUM_SQL = f"""WITH t AS (SELECT p_partkey, {_PICK} AS datum FROM part), u AS (SELECT *, replace(replace(upper(datum), ' ', ''), '_', '') AS s FROM t),
@@ -302,7 +302,7 @@ def position_class(spark, d):
     return table(spark, d, "part").where(~F.upper("p_type").isin("MILITARY", "NGS", "STANDARD")).select("p_partkey", X.position_class(F.col("p_type")).alias("cls"))
 
 
-# ---- G: geodesy -------------------------------------------------------------------------------
+# G: geodesy
 
 _A, _E2 = G.GRS80
 _HAV = "2*6371.0088e0*asin(sqrt(least(1e0, greatest(0e0, pow(sin(radians({3}-{1})/2),2) + cos(radians({1}))*cos(radians({3}))*pow(sin(radians({2}-{0})/2),2)))))"
@@ -376,7 +376,7 @@ def utm_projection(spark, d):
     return control(spark, d).where(F.col("x").between(-120, -114)).select("id", r(x, 3).alias("easting"), r(y, 3).alias("northing"))
 
 
-# ---- E: epochs --------------------------------------------------------------------------------
+# E: epochs
 
 
 def moving(spark, d):
@@ -417,7 +417,7 @@ def epoch_qc(spark, d):
     return E.check_epochs(moving(spark, d)).select("id", "unreduced")
 
 
-# ---- V: velocity network ----------------------------------------------------------------------
+# V: velocity network
 
 
 def stations(spark, d):
@@ -477,7 +477,7 @@ def station_places(spark, d):
     return S.classify_stations(stations(spark, d), (-110.0, 30.0, -90.0, 40.0), 200.0).select("sta", "place")
 
 
-# ---- W: windows over series -------------------------------------------------------------------
+# W: windows over series
 
 
 def series(spark, d):
@@ -526,7 +526,7 @@ def temporal_overlap(spark, d):
     return spans.select("sta", S.overlaps(F.col("b"), F.col("e"), low, high, 3).alias("meets"))
 
 
-# ---- R: rasters -------------------------------------------------------------------------------
+# R: rasters
 
 GRID = R.Grid(-125.0, 49.0, 1.0, -0.6, 40, 50)
 
@@ -620,7 +620,7 @@ def segment_summary(spark, d):
     return rounded(A.summarize(rows, ["DSM"]).select("product", "segment", "n", "n_valid", "n_out", "median_m"))
 
 
-# ---- J, D: spatial predicates and sets ---------------------------------------------------------
+# J, D: spatial predicates and sets
 
 _BOX = (-110.0, 30.0, -90.0, 40.0)
 _QUAD = [("A", 0, 0, -118.3, 31.1), ("A", 0, 1, -96.2, 28.7), ("A", 0, 2, -92.1, 44.9), ("A", 0, 3, -115.7, 42.2), ("B", 0, 0, -100.4, 30.3), ("B", 0, 1, -80.6, 33.8), ("B", 0, 2, -86.9, 47.1)]

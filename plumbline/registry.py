@@ -31,7 +31,7 @@ FRAMES: dict[str, Frame] = {
     "EPSG:7911": Frame("ITRF2008", GRS80, dynamic=True),
 }
 #: Service frames stand for the ITRF solution they follow.
-ALIASES = {"IGS14": "EPSG:7912", "IGS20": "EPSG:9989", "IGS08": "EPSG:7911"}
+ALIASES = {"IGS08": "EPSG:7911"} | dict(IGS20="EPSG:9989", IGS14="EPSG:7912")
 
 
 class NoTransformPath(LookupError):

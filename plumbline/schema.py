@@ -7,21 +7,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, MapType, StringType, StructField, StructType, TimestampType
 
 _TEXT = {
-    "source", "id", "height_datum", "horizontal_crs", "vertical_crs", "ref_frame", "point_type", "native_crs", "raw",
-    "transform_id",
+    "id", "source", "raw", "transform_id", "point_type", "ref_frame", "native_crs", "vertical_crs", "horizontal_crs",
+    "height_datum",
 }
 _ORDER = (
     "source id height height_datum horizontal_crs vertical_crs ref_frame frame_epoch coord_epoch measurement_datetime "
     "measurement_epoch point_type acc_h acc_v vel_e vel_n vel_u epoch_residual_m native_x native_y native_h native_crs raw "
     "transform_id"
 ).split()
-REQUIRED = ("source", "id")
 
 
 class SchemaError(ValueError):
     """A relation that can't be brought into the schema, or isn't in it."""
 
 
+REQUIRED = ["source", "id"]
+
+
 def _kind(name: str) -> StringType | TimestampType | DoubleType:
     return StringType() if name in _TEXT else TimestampType() if name == "measurement_datetime" else DoubleType()
 

@@ -9,7 +9,7 @@ from ..functions.core import finite
 from ..functions.time import decyear
 from ..schema import normalize
 
-_USED = {"id", "point_type", "datetime", "z_meter_vdatum_update", "x", "y", "geometry"}
+_USED = set("x y geometry id datetime point_type z_meter_vdatum_update".split())
 
 
 def read(spark: SparkSession, path: str, box: tuple[float, float, float, float] | None = None) -> DataFrame:

@@ -28,7 +28,7 @@ def get_records(fetch: Fetch, box: tuple[float, ...], retries: int = RETRIES, sl
     raise RuntimeError(f"no list of records after {retries} tries")
 
 
-def fetch_box(fetch: Fetch, box: tuple[float, float, float, float], depth: int = 0, overlap: float = 1e-6) -> list[dict]:
+def fetch_box(fetch: Fetch, box: tuple[float, float, float, float], overlap: float = 1e-6, depth: int = 0) -> list[dict]:
     """All records of a box: a full answer is split in four, slightly overlapping, down to a depth."""
     got = get_records(fetch, box)
     if len(got) < ROWS_LIMIT or depth >= DEPTH_LIMIT:
@@ -36,7 +36,7 @@ def fetch_box(fetch: Fetch, box: tuple[float, float, float, float], depth: int =
     x0, y0, x1, y1 = box
     xm, ym = (x0 + x1) / 2, (y0 + y1) / 2
     quarters = [(x0, y0, xm + overlap, ym + overlap), (xm - overlap, y0, x1, ym + overlap), (x0, ym - overlap, xm + overlap, y1), (xm - overlap, ym - overlap, x1, y1)]
-    return [r for q in quarters for r in fetch_box(fetch, q, depth + 1, overlap)]
+    return [r for q in quarters for r in fetch_box(fetch, q, overlap, depth + 1)]
 
 
 def records_frame(spark: SparkSession, records: list[dict]) -> DataFrame:
@@ -68,6 +68,9 @@ def quarantine(rows: DataFrame, datum: str = "ref_frame", crs: str = "horizontal
     return rows.where(F.col(crs).isNotNull()), bad
 
 
+_PLACED = set("lon lat orthoHt pid".split())
+
+
 def _extras(consumed: set[str]) -> Column:
     """The record without the consumed keys, all values as text."""
     every = F.from_json("value", "map<string,string>")
@@ -79,7 +82,7 @@ def _common(records: DataFrame, datum: str) -> DataFrame:
     lat, lon, height = (number_or_null(field(c)) for c in ("lat", "lon", "orthoHt"))
     return records.withColumns({
         "id": field("pid"), "height": height, "horizontal_crs": datum_crs(ref), "ref_frame": ref, "frame_epoch": frame_epoch(ref),
-        "coord_epoch": F.coalesce(number_or_null(field("epoch")), frame_epoch(ref)), "native_x": lon, "native_y": lat, "native_h": height,
+        "coord_epoch": F.coalesce(number_or_null(field("epoch")), frame_epoch(ref)), "native_h": height, "native_y": lat, "native_x": lon,
         "native_crs": F.concat(datum_crs(ref), F.lit("+5703")), "x": lon, "y": lat,
     })
 
@@ -89,7 +92,7 @@ def parse_sheets(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = _common(records, "posDatum").withColumns({
         "point_type": F.lit("monument"), "height_datum": field("vertDatum"), "vertical_crs": vertical_crs(field("vertDatum")),
         "measurement_datetime": mixed_date(field("lastRecovered")), "measurement_epoch": decyear(mixed_date(field("lastRecovered"))),
-        "acc_h": number_or_null(field("netAccHz")) / 100, "raw": _extras({"pid", "lat", "lon", "orthoHt", "lastRecovered"}),
+        "acc_h": number_or_null(field("netAccHz")) / 100, "raw": _extras(_PLACED | {"lastRecovered"}),
     })
     good, bad = quarantine(rows)
     return normalize(good, source="ngs"), bad
@@ -101,7 +104,7 @@ def parse_solutions(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = _common(records, "refFrame").withColumns({
         "point_type": F.lit("gnss"), "height_datum": F.lit("NAVD88"), "vertical_crs": F.lit("EPSG:5703"), "measurement_datetime": when,
         "measurement_epoch": decyear(when), "acc_h": F.greatest(number_or_null(field("latP2p")), number_or_null(field("lonP2p"))),
-        "acc_v": number_or_null(field("orthoHtP2p")), "raw": _extras({"pid", "lat", "lon", "orthoHt", "obsTimeStart"}),
+        "acc_v": number_or_null(field("orthoHtP2p")), "raw": _extras(_PLACED | {"obsTimeStart"}),
     })
     good, bad = quarantine(rows)
     return normalize(good, source="opus"), bad

@@ -71,7 +71,7 @@ def fetch_control(
 
     Each source is counted inside its own try, as a lazy plan would raise only in the end, for all.
     """
-    if target_crs is not None or target_epoch is not None:
+    if (target_crs, target_epoch) != (None, None):
         raise NotImplementedError("control is landed in one fixed frame; transform it afterwards")
     box, polygon = aoi(spark, area)
     parts, status = [], {}

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.geodesy import wrap_lon
 from ..functions.time import decyear, decyear_inv, short_date
+from ..registry import ALIASES
 from ..schema import empty, normalize
 from .common import bounded, fields, lines_of, must
 
-FRAMES = {"IGS14": "EPSG:7912", "IGS20": "EPSG:9989"}
+FRAMES = {k: v for k, v in ALIASES.items() if k in ("IGS20", "IGS14")}
 
 
 def parse_index(lines: DataFrame) -> DataFrame:
@@ -29,7 +30,7 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return parse_index(lines_of(spark, path))
 
 
-_NEEDED = ("site", "date", "decyear", "ant", "sig_e", "sig_n", "sig_u", "latitude", "longitude", "height")
+_NEEDED = "date site latitude longitude height decyear sig_e sig_n sig_u ant".split()
 
 
 def parse_series(lines: DataFrame) -> DataFrame:
@@ -151,7 +152,7 @@ def parse(series: DataFrame, index: DataFrame, velocities: DataFrame | None = No
         raise ValueError(f"unknown frame {frame!r}; known: {sorted(FRAMES)}")
     chosen, mode = select_window(series, epoch, span)
     rows = positions(chosen, mode).join(index.select("sta", "sta_orig_name", "dtbeg", "dtend", "num_sol"), "sta", "left")
-    columns = ["vel_e", "vel_n", "vel_u", "sig_vel_e", "sig_vel_n", "sig_vel_u"]
+    columns = [prefix + axis for prefix in ("vel_", "sig_vel_") for axis in "enu"]
     if velocities is not None:
         rows = rows.join(velocities.select("sta", *columns), "sta", "left")
     else:

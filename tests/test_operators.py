@@ -23,14 +23,14 @@ def values(spark, xs):
 def test_statistics_of_a_known_vector(spark):
     df = values(spark, [1, 2, 3, 4, 100, NAN, None, float("inf")])
     r = A.resid_stats(df, "v").first()
-    assert (r["n"], r["median"], r["mean"]) == (5, 3.0, 22.0) and r["nmad"] == pytest.approx(1.4826)
+    assert (r["n"], r["median"], r["mean"]) == (5, 3.0, 22.0) and abs(r["nmad"] - A.NMAD) < 1e-12
     assert r["std"] == pytest.approx(math.sqrt(1522)) and r["rmse"] == pytest.approx(math.sqrt(2006))
     e = A.error_report(df, "v").first()
     assert (e["n"], e["n_used"], e["n_outliers"], e["mean"]) == (5, 4, 1, 2.5)
 
 
 def test_no_spread_gates_nothing_but_the_mask_rejects_all(spark):
-    df = values(spark, [0.0] * 10 + [0.01] * 5)
+    df = values(spark, [0.01] * 5 + [0.0] * 10)
     e = A.error_report(df, "v").first()
     assert e["n_outliers"] == 0 and e["n_used"] == 15 and e["rmse"] > 0
     assert A.robust_normalize(df, "v").where("inlier").count() == 0
@@ -45,7 +45,7 @@ def test_empty_groups_and_single_values(spark):
 
 
 def test_outlier_mask(spark):
-    df = values(spark, [0.1, -0.2, 0.05, -0.05, 0.15, 30, None])
+    df = values(spark, [30, 0.15, -0.05, 0.05, -0.2, 0.1, None])
     assert {r["v"]: r["inlier"] for r in A.robust_normalize(df, "v").collect()} == {0.1: True, -0.2: True, 0.05: True, -0.05: True, 0.15: True, 30.0: False, None: False}
 
 
@@ -59,7 +59,7 @@ def test_decimal_years(spark):
     assert sorted(r["y"] for r in df.collect()) == [2010.0, 2010.5, 2020.5]
     back = df.select((F.abs(T.decyear(T.decyear_inv(F.col("y"))) - F.col("y")) < 1e-8).alias("ok")).collect()
     assert all(r["ok"] for r in back)
-    assert T.decimal_year("2010-07-02T12:00:00") == 2010.5 and T.decimal_year("2010-07-02T05:00:00-07:00") == 2010.5
+    assert {T.decimal_year(f"2010-07-02T{at}") for at in ("12:00:00", "05:00:00-07:00")} == {2010.5}
     with pytest.raises(ValueError):
         T.time_range(2012, 2011)
 
@@ -186,7 +186,7 @@ def test_nearest_and_radius(spark):
 
 def test_hillshade_of_flat_ground(spark):
     flat = spark.createDataFrame([(r, c, 5.0) for r in range(4) for c in range(4)], "row int, col int, z double")
-    for azimuths in ((315.0,), (225.0, 270.0, 315.0, 360.0)):
+    for azimuths in ((315.0,), (360.0, 315.0, 270.0, 225.0)):
         assert {round(r["shade"], 9) for r in raster.hillshade(flat, raster.Grid(0, 0, 1, -1, 4, 4), azimuths).collect()} == {round(math.cos(math.radians(45)), 9)}
 
 

@@ -7,7 +7,7 @@ from plumbline import cli, io, schema
 from plumbline.sources import checkpoints, datasheets, dispatch, runways, stations
 from plumbline.sources.common import from_text
 
-INDEX = """Sta Lat(deg) Long(deg) Hgt(m) X Y Z Dtbeg Dtend Dtmod NumSol StaOrigName
+INDEX = """Sta Lat Long Hgt X Y Z Dtbeg Dtend Dtmod NumSol StaOrigName
 AAAA 36.1 244.5 700.0 1 2 3 2000-01-01 2020-01-01 2020-02-02 100 MY OLD NAME
 BBBB -10.0 180.0 5.0 1 2 3 2010-01-01 2011-01-01 2020-02-02 7
 """
@@ -57,7 +57,7 @@ def test_steps_and_velocities(spark):
 
 
 RECORDS = [
-    {"pid": "AB0001", "lat": "36.1", "lon": "-115.1", "posDatum": "NAD 83(2011)", "epoch": " ", "orthoHt": "600.5", "vertDatum": "NAVD 88", "netAccHz": "1.2", "lastRecovered": "2012"},
+    {"orthoHt": "600.5", "pid": "AB0001", "epoch": " ", "lon": "-115.1", "lat": "36.1", "posDatum": "NAD 83(2011)", "vertDatum": "NAVD 88", "netAccHz": "1.2", "lastRecovered": "2012"},
     {"pid": "AB0002", "lat": "36.2", "lon": "-115.2", "posDatum": "NAD 83(CORS)", "orthoHt": " "},
     {"pid": "AB0003", "lat": "36.3", "lon": "-115.3", "orthoHt": "1"},
     {"pid": "AB0001", "lat": "0", "lon": "0", "posDatum": "NAD 83(2011)", "orthoHt": "1"},
@@ -156,7 +156,7 @@ def test_a_failing_source_is_reported_and_the_others_return(spark, providers):
 
 def test_polygon_area_write_and_provenance(spark, providers, tmp_path):
     area = tmp_path / "a.geojson"
-    area.write_text(json.dumps({"features": [{"geometry": {"type": "Polygon", "coordinates": [[[-116, 35], [-114, 35], [-114, 37], [-116, 37], [-116, 35]]]}}]}))
+    area.write_text(json.dumps({"features": [{"geometry": {"coordinates": [[[-116, 35], [-114, 35], [-114, 37], [-116, 37], [-116, 35]]], "type": "Polygon"}}]}))
     rows, status = dispatch.fetch_control(spark, str(area), ["3dep", "ngs"])
     assert {r["id"] for r in rows.collect()} == {"p1", "AB0001"}
     record = io.write(rows, str(tmp_path / "out.parquet"), status, "test")
