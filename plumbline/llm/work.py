@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if rows x bytes a row stay below this.
 BROADCAST_BYTES = 32 << 20
-ROWS_AT_ONCE = 1 << 20
+ROWS_AT_ONCE = 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
