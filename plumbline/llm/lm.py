@@ -39,7 +39,7 @@ from .eliasfano import EliasFano
 from .work import map_arrow, saved, shared_path
 
 MIN_COUNT, PRUNE, DISCOUNT = 2, 2, 0.75
-VOCAB_SHARDS, SHARD_WORDS, SLICE, BATCH_ROWS = 64, 4_000_000, 6 << 20, 1 << 20
+VOCAB_SHARDS, SHARD_WORDS, SLICE, BATCH_ROWS = 64, 1_500_000, 6 << 20, 1 << 20
 FLOOR = -24.0
 
 
@@ -269,8 +269,13 @@ def build_shard(blocks: list[bytes], words: Words, prune: int) -> tuple[dict[str
         thirds.append(third)
         tri_counts.append(tri_count)
     pair, count = _summed(np.concatenate(pairs), np.concatenate(counts))
-    node = np.searchsorted(pair, np.concatenate(tri_pairs))
-    tri, tri_count = _summed(node << 32 | np.concatenate(thirds), np.concatenate(tri_counts))
+    del pairs, counts
+    key = np.searchsorted(pair, np.concatenate(tri_pairs)) << 32
+    del tri_pairs
+    key |= np.concatenate(thirds)
+    del thirds
+    tri, tri_count = _summed(key, np.concatenate(tri_counts))
+    del key, tri_counts
     kept = count >= prune
     strong = (tri_count >= prune) & kept[tri >> 32]
     number = np.cumsum(kept) - 1
