@@ -39,7 +39,7 @@ from .eliasfano import EliasFano
 from .work import map_arrow, saved, shared_path
 
 MIN_COUNT, PRUNE, DISCOUNT = 2, 2, 0.75
-VOCAB_SHARDS, SHARD_WORDS, SLICE, BATCH_ROWS = 64, 1_500_000, 6 << 20, 1 << 20
+VOCAB_SHARDS, SHARD_WORDS, SLICE, BATCH_ROWS = 64, 1_500_000, (2 << 20) - 2, 1 << 20
 FLOOR = -24.0
 
 
