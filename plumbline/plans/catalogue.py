@@ -22,6 +22,7 @@ from ..operators import spatial as S
 from ..operators import stats as A
 from ..operators.landing import land, transform_points
 from ..sources.datasheets import dedupe_first
+from ..sources.stations import median_lon, select_window
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -372,9 +373,10 @@ def velocity_azimuth(spark, d):
 
 @query()
 def utm_projection(spark, d):
-    """No SQL: a series held against closed forms in the tests."""
-    x, y = G.transverse_mercator(F.col("x"), F.col("y"), -117.0)
-    return control(spark, d).where(F.col("x").between(-120, -114)).select("id", r(x, 3).alias("easting"), r(y, 3).alias("northing"))
+    """Every point in its own zone.  No SQL: a series held against closed forms in the tests."""
+    zone = F.floor((G.wrap_lon(F.col("x")) + 180) / 6)
+    x, y = G.transverse_mercator(F.col("x"), F.col("y"), zone * 6 - 177)
+    return control(spark, d).select("id", (zone + 1).cast("int").alias("zone"), r(x, 3).alias("easting"), r(y, 3).alias("northing"))
 
 
 # E: epochs
@@ -492,6 +494,12 @@ def window_epoch_5d(spark, d):
     return rounded(rows.groupBy("sta").agg(F.count("*").alias("n"), F.median("height").alias("height")))
 
 
+@query("SELECT user_id AS sta, count(*) AS n, round(median(value), 6) AS height FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-15' - INTERVAL 30 DAY AND TIMESTAMP '2024-01-15' + INTERVAL 30 DAY GROUP BY user_id")
+def window_epoch_30d(spark, d):
+    rows, _ = select_window(series(spark, d), epoch=2024 + 14 / 366)
+    return rounded(rows.groupBy("sta").agg(F.count("*").alias("n"), F.median("height").alias("height")))
+
+
 @query("WITH k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS rn FROM events) SELECT user_id AS sta, count(*) AS n, round(median(value), 6) AS height FROM k WHERE rn <= 30 GROUP BY user_id")
 def window_last_n(spark, d):
     rank = F.row_number().over(Window.partitionBy("sta").orderBy(F.desc("date"), "event_id"))
@@ -513,9 +521,16 @@ def window_position(spark, d):
 @query("""WITH s AS (SELECT user_id AS sta, ((CAST((event_id*37) % 360 AS DOUBLE) + 180) % 360) - 180 AS lon FROM events WHERE event_id % 3 = 0)
 SELECT sta, round(CASE WHEN max(lon) - min(lon) > 180 THEN (median((lon + 360) % 360) + 180) % 360 - 180 ELSE median(lon) END, 6) AS lon FROM s GROUP BY sta""")
 def median_lon_antimeridian(spark, d):
-    from ..sources.stations import median_lon
+    return _median_lon(series(spark, d).where("event_id % 3 = 0"))
+
+
+@query(SQL["median_lon_antimeridian"].replace(" WHERE event_id % 3 = 0", ""))
+def median_lon_antimeridian_whole(spark, d):
+    return _median_lon(series(spark, d))
+
 
-    rows = series(spark, d).where("event_id % 3 = 0").withColumn("lon", G.wrap_lon(F.col("longitude")))
+def _median_lon(rows: DataFrame) -> DataFrame:
+    rows = rows.withColumn("lon", G.wrap_lon(F.col("longitude")))
     return rows.groupBy("sta").agg(r(median_lon(F.col("lon"))).alias("lon"))
 
 

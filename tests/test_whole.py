@@ -1,5 +1,6 @@
 """Queries over whole tables, larger than those of the smallest scale."""
 
+import math
 import os
 
 import duckdb
@@ -58,3 +59,24 @@ def test_whole_rasters_equal_sql_beyond_2000_parts(spark, large, name):
     same(got, want)
     if name == "hillshade":
         assert len(got) == PARTS
+
+
+def test_whole_longitudes_and_windows_take_every_event(spark, large):
+    """Every event counts, also those with event_id % 3 > 0 or over five days from the epoch."""
+    n = spark.read.parquet(f"{SF}/events.parquet").count()
+    for name in ("median_lon_antimeridian_whole", "window_epoch_30d"):
+        same(*both(spark, large, name))
+    assert sum(r["n"] for r in queries()["window_epoch_30d"](spark, SF).collect()) == n
+
+
+def test_every_point_is_projected_in_its_own_zone(spark):
+    from plumbline.plans.catalogue import control
+
+    rows = {r["id"]: r for r in queries()["utm_projection"](spark, SF).collect()}
+    points = control(spark, SF).collect()
+    assert len(rows) == len(points) and len({r["zone"] for r in rows.values()}) > 1
+    for p in points:
+        got = rows[p["id"]]
+        assert got["zone"] == int((p["x"] + 180) // 6) + 1
+        off = math.radians(p["x"] - (got["zone"] * 6 - 183)) * math.cos(math.radians(p["y"])) * 6378137
+        assert abs(got["easting"] - 5e5 - off) < 2500
