@@ -6,13 +6,16 @@ structure statistics (their values and the interval each falls in) and hashed me
 
     b + sum_i w_i x_i + 1/2 sum_f [ (sum_i v_if x_i)**2 - sum_i v_if**2 x_i**2 ],
 
-linear in the number of features by the sum-of-squares identity.  Training uses at most
+linear in the number of features by the sum-of-squares identity.  A second machine is trained
+on ``toxic``, over those hashed words and beginnings of words (``STEMS``, without case) that stand out in
+toxic or in other documents; a document is kept if it is good and not toxic.  Training uses at most
 ``SAMPLE`` labelled documents, drawn by a hash of doc_id (this bound is a parameter and the only
 one; scoring covers every document).  Training is seeded and repeatable.
 
 Defined results: a null or empty text has no words and the score of its structure and
-metadata; null metadata is a value of its own; label rows without quality or document are left out,
-repeated ones count again; without any label every document is kept with score 0.5; an empty
+metadata; null metadata is a value of its own; label rows without the label trained on or document are
+left out, repeated ones count again; without any label of quality every document is kept with score 0.5;
+without any of toxicity no document is toxic and that score is null; an empty
 table gives an empty result; extra columns pass through ``keep_good``.
 """
 
@@ -30,6 +33,8 @@ from .work import map_arrow
 
 SAMPLE, WORD_SPACE, META_SPACE, RANK, EPOCHS = 8000, 1 << 15, 1 << 10, 8, 8
 THRESHOLD = 0.5
+#: Lengths of the beginnings in bytes (0: the word), and the z value from which a feature stands out.
+STEMS, STANDS_OUT, STEM_VALUE = (0, 4, 5, 6, 8), 4.0, 0.7
 
 STATS = (
     "words", "word_len", "distinct", "upper", "digit", "symbol", "pipe_bang", "punct", "lines", "line_len",
@@ -125,6 +130,31 @@ def features(text: pa.Array, lang: pa.Array, source: pa.Array) -> tuple[np.ndarr
     return starts, np.concatenate(ids), np.concatenate(values).astype(np.float32)
 
 
+def stems(text: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows in sparse form: the hashed words and beginnings of words (those ``wanted``), each once, and the last feature."""
+    sizes, ids = [], []
+    for lo, hi, buf, offsets in K.slices(text):
+        n = hi - lo
+        start, end, row, _ = K.words(buf, offsets)
+        small = np.where((buf >= 65) & (buf <= 90), buf + 32, buf).astype(np.uint8)
+        found = [np.arange(n) * FEATURES + FEATURES - 1]
+        for width in STEMS:
+            long = end - start >= width
+            hashes = K.mix(K.span_hashes(small, start[long], start[long] + width if width else end[long]), 70 + width)
+            feature = (hashes % np.uint64(WORD_SPACE)).astype(np.int64)
+            r = row[long]
+            if wanted is not None:
+                r, feature = r[wanted[feature]], feature[wanted[feature]]
+            found.append(r * FEATURES + feature)
+        pair = np.unique(np.concatenate(found))
+        sizes.append(np.bincount(pair // FEATURES, minlength=n))
+        ids.append(pair % FEATURES)
+    if not sizes:
+        return np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
+    every = np.concatenate(ids)
+    return np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), every, np.ones(len(every), np.float32)
+
+
 def score(model: Model, starts: np.ndarray, ids: np.ndarray, values: np.ndarray, step: int = 1 << 18) -> np.ndarray:
     """Probability of good quality of each row; every row has at least its structure features."""
     out = np.empty(len(starts) - 1)
@@ -184,9 +214,35 @@ def train(starts: np.ndarray, ids: np.ndarray, values: np.ndarray, labels: np.nd
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Train on up to ``sample`` labelled documents; only their features reach the driver."""
-    ok = labels.where("doc_id is not null and quality is not null").select("doc_id", "quality")
-    chosen = ok.orderBy(F.xxhash64("doc_id", F.lit("fit")), "doc_id", "quality").limit(sample)
-    chosen = F.broadcast(chosen.select(F.col("doc_id").alias("label_id"), F.col("quality").alias("label")))
+    return train(*_labelled(docs, labels, "quality", sample))
+
+
+def fit_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
+    """The same for toxicity; None without any label of it."""
+    if "toxic" not in labels.columns:
+        return None
+    starts, ids, _, y = _labelled(docs, labels, "toxic", sample, lambda text, lang, source: stems(text))
+    if not len(y):
+        return None
+    share = y.mean()
+    seen = np.bincount(ids, minlength=FEATURES)
+    toxic = np.bincount(ids, np.repeat(y, np.diff(starts)), FEATURES)
+    wanted = np.abs(toxic - share * seen) > STANDS_OUT * np.sqrt(share * (1 - share) * seen + 1)
+    wanted[FEATURES - 1] = True
+    kept = wanted[ids]
+    starts = np.concatenate([[0], np.cumsum(kept)])[starts]
+    ids = ids[kept]
+    model = train(starts, ids, np.where(ids == FEATURES - 1, 1, STEM_VALUE).astype(np.float32), y)
+    scale = np.where(wanted, STEM_VALUE, 0).astype(np.float32)
+    scale[FEATURES - 1] = 1
+    return Model(model.bias, model.linear * scale, model.factors * scale[:, None])
+
+
+def _labelled(docs: DataFrame, labels: DataFrame, target: str, sample: int, features=features) -> tuple[np.ndarray, ...]:
+    """Features and labels (0 or 1) of the documents to train on."""
+    ok = labels.where(f"doc_id is not null and {target} is not null").select("doc_id", target)
+    chosen = ok.orderBy(F.xxhash64("doc_id", F.lit("fit")), "doc_id", target).limit(sample)
+    chosen = F.broadcast(chosen.select(F.col("doc_id").alias("label_id"), F.col(target).alias("label")))
     docs = _with_columns(docs).select("doc_id", "text", "lang", "source")
     rows = docs.join(chosen, docs["doc_id"] == chosen["label_id"]).select("text", "lang", "source", "label", "label_id")
 
@@ -199,11 +255,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     got = map_arrow(rows, fn, "label int, label_id bigint, ids array<int>, vals array<float>").toArrow()
     got = got.sort_by([("label_id", "ascending"), ("label", "ascending")]).combine_chunks()
     if not got.num_rows:
-        return train(np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(0))
+        return np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(0)
     ids, vals = got["ids"].chunk(0), got["vals"].chunk(0)
     starts = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy())])
     y = (got["label"].to_numpy() > 0).astype(float)
-    return train(starts, ids.flatten().to_numpy().astype(np.int64), vals.flatten().to_numpy(), y)
+    return starts, ids.flatten().to_numpy().astype(np.int64), vals.flatten().to_numpy(), y
 
 
 def _with_columns(docs: DataFrame) -> DataFrame:
@@ -211,28 +267,37 @@ def _with_columns(docs: DataFrame) -> DataFrame:
     return docs.withColumns(missing) if missing else docs
 
 
-def scores(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, score (probability of good quality) and keep for every row."""
+def _judged(model: Model, toxic: Model | None, threshold: float, text: pa.Array, lang: pa.Array, source: pa.Array) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
+    """Probability of good quality and of toxicity, and what is kept."""
+    p = score(model, *features(text, lang, source))
+    if toxic is None:
+        return p, None, p >= threshold
+    q = score(toxic, *stems(text, toxic.linear != 0))
+    return p, q, (p >= threshold) & (q < THRESHOLD)
+
+
+def scores(docs: DataFrame, model: Model, threshold: float = THRESHOLD, toxic: Model | None = None) -> DataFrame:
+    """doc_id, score (probability of good quality), toxic_score (null without a model of it) and keep for every row."""
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        p = score(model, *features(batch.column(1), batch.column(2), batch.column(3)))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array(p >= threshold)], names=["doc_id", "score", "keep"])
+        p, q, keep = _judged(model, toxic, threshold, *(batch.column(i) for i in (1, 2, 3)))
+        bad = pa.nulls(len(p), pa.float64()) if q is None else pa.array(q)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), bad, pa.array(keep)], names=["doc_id", "score", "toxic_score", "keep"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     slim = _with_columns(docs).select("doc_id", "text", "lang", "source")
-    return map_arrow(slim, fn, f"doc_id {kind}, score double, keep boolean")
+    return map_arrow(slim, fn, f"doc_id {kind}, score double, toxic_score double, keep boolean")
 
 
-def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts."""
+def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD, toxic: Model | None = None) -> DataFrame:
+    """The rows of ``docs`` that the classifiers accept."""
     added = [c for c in ("lang", "source") if c not in docs.columns]
     full = _with_columns(docs)
     at = [full.columns.index(c) for c in ("text", "lang", "source")]
     inner = full.toDF(*[f"c{i}" for i in range(len(full.columns))])
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        p = score(model, *features(*(batch.column(i) for i in at)))
-        return batch.filter(pa.array(p >= threshold))
+        return batch.filter(pa.array(_judged(model, toxic, threshold, *(batch.column(i) for i in at))[2]))
 
     schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(full.schema.fields))
     return map_arrow(inner, fn, schema).toDF(*full.columns).drop(*added)

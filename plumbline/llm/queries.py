@@ -24,7 +24,8 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return quality.scores(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.scores(docs, quality.fit(docs, labels), toxic=quality.fit_toxic(docs, labels))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
