@@ -42,7 +42,7 @@ def op6_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return lm.scores(docs, lm.build(docs))
+    return lm.scores(docs, lm.build(docs, prune=1))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,11 @@
 """The corpus queries do their whole job."""
 
-import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import quality
+from plumbline.llm import quality, queries
 
-from .common import table
+from .common import SCHEMA, prose, table
+from .test_lm_substring_packing import _brute
 
 
 def test_held_out_toxic_documents_are_not_kept(spark):
@@ -27,3 +27,13 @@ def test_without_labels_of_toxicity_nothing_is_toxic(spark):
     labels = spark.createDataFrame([(1, 1, None), (9, 0, None)], "doc_id long, quality int, toxic int")
     assert quality.fit_toxic(table(spark), labels) is None and quality.fit_toxic(table(spark), labels.drop("toxic")) is None
     assert {r["toxic_score"] for r in quality.scores(table(spark), quality.fit(table(spark), labels)).collect()} == {None}
+
+
+def test_the_language_model_query_keeps_ngrams_seen_once(spark, tmp_path):
+    rows = [(i, prose(i % 7, 60) + " " + prose(i, 30), "en", "s", 0) for i in range(20)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["log_prob"] for r in queries.op7_lm_scores(spark, str(tmp_path)).collect()}
+    whole, cut = _brute(rows, prune=1), _brute(rows, prune=2)
+    for (doc_id, *_), (n, lp) in zip(rows, whole, strict=True):
+        assert abs(got[doc_id] - lp) <= 0.05 * n
+    assert any(abs(a[1] - b[1]) > 0.1 * a[0] for a, b in zip(whole, cut, strict=True))
