@@ -85,11 +85,13 @@ _KINDS = [
     ("SSN", None, r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", _ssn, ("ssn", "social", "security")),
     ("IPV4", None, r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)", _ipv4, ("ip", "address", "host", "server")),
     ("PHONE", None, r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,4}\)[ .-]?)?\d{2,5}(?:[ .-]\d{2,5}){1,4}(?![\w]|[.-]\d)", _phone, ("phone", "tel", "call", "mobile", "fax", "cell")),
+    ("PHONE", "+", r"(?<![\w.+])\+\d(?:[ .-]?\(?\d\)?){7,14}(?![\w]|[.-]\d)", _phone, ()),
+    ("PHONE", None, r"(?<![\w.+-])\d(?:[ .-]?\d){7,14}(?![\w]|[.-]\d)", _always(0.35), ("phone", "tel", "call", "mobile", "fax", "cell")),
     ("SECRET", None, r"""(?i)\b(?:api[_-]?key|access[_-]?key|auth[_-]?token|token|secret|passw(?:or)?d|pwd|key)["']?\s*[:=]\s*["']?(?P<v>[\w+/.~-]{8,})=*["']?""", _secret, ("bearer", "authorization", "credential")),
     ("SECRET", None, r"\bAKIA[0-9A-Z]{16}\b", _always(0.95), ()),
     ("SECRET", "-----BEGIN", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?(?:-----END [A-Z ]*PRIVATE KEY-----|\Z)", _always(0.95), ()),
     ("SECRET", "eyJ", r"\beyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]*", _always(0.9), ()),
-    ("SECRET", None, r"(?i)(?<![0-9a-z])(?=[0-9a-f]*\d)(?=[0-9a-f]*[a-f])[0-9a-f]{32,128}(?![0-9a-z])", _always(0.6), ()),
+    ("SECRET", None, r"(?i)(?<![0-9a-z])(?=[0-9a-f]*\d)(?=[0-9a-f]*[a-f])[0-9a-f]{32,}(?![0-9a-z])", _always(0.6), ()),
 ]
 _RULES = [(kind, need, re.compile(p), score, re.compile(r"(?i)\b(?:%s)" % "|".join(near)) if near else None) for kind, need, p, score, near in _KINDS]
 _DIGIT = re.compile(r"[0-9]")
@@ -143,7 +145,7 @@ def find_spans(text: str) -> list[tuple[int, int, str, float]]:
 
 def _secrets_without_digits(text: str) -> list[tuple[float, int, int, str]]:
     """Assignments to a secret's name whose value has no digit nearby."""
-    _, _, pattern, score, _ = _RULES[6]
+    _, _, pattern, score, _ = next(rule for rule in _RULES if rule[0] == "SECRET")
     if "=" not in text and ":" not in text:
         return []
     return [(s, m.start(), m.end(), "SECRET") for m in pattern.finditer(text) if (s := score(m)) >= THRESHOLD]

@@ -1,8 +1,10 @@
 """The corpus queries do their whole job."""
 
+import pytest
+import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import quality, queries
+from plumbline.llm import pii, quality, queries
 
 from .common import SCHEMA, prose, table
 from .test_lm_substring_packing import _brute
@@ -29,6 +31,24 @@ def test_without_labels_of_toxicity_nothing_is_toxic(spark):
     assert {r["toxic_score"] for r in quality.scores(table(spark), quality.fit(table(spark), labels)).collect()} == {None}
 
 
+@pytest.mark.parametrize("number", ["+14155552671", "+442079460958", "tel +442079460958", "phone 4155552671", "+33 1 23 45 67 89", "tel 01 23 45 67 89", "+1 (974) 555-3436"])
+def test_phone_numbers_without_separators_or_with_short_groups(number):
+    text = f"so {number} it is"
+    spans = pii.find_spans(text)
+    assert [k for _, _, k, _ in spans] == ["PHONE"]
+    assert not any(c.isdigit() for c in pii.redacted(text, spans))
+
+
+def test_numbers_that_are_no_phone_numbers_stay():
+    for text in ("order 4155552671 of", "on 2024-01-15 it", "1234567890123456789012345"):
+        assert pii.find_spans(text) == []
+
+
+def test_a_long_hex_secret_is_found_whole():
+    for n in (64, 128, 129, 5000):
+        assert [x[:3] for x in pii.find_spans("x " + "0a" * n + " y")] == [(2, 2 + 2 * n, "SECRET")]
+
+
 def test_the_language_model_query_keeps_ngrams_seen_once(spark, tmp_path):
     rows = [(i, prose(i % 7, 60) + " " + prose(i, 30), "en", "s", 0) for i in range(20)]
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
