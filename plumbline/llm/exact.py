@@ -4,10 +4,13 @@ A document is cut into chunks of ``CHUNK`` bytes.  Each chunk is hashed by two
 polynomials modulo the Mersenne prime 2**61 - 1, all chunks of a batch at once, and
 ``combine`` joins neighbours by shifting the left hash by the length of the right:
 ``H(a + b) = H(a) * B**len(b) + H(b)``, so a huge document needs no sequential pass.
-Only (fingerprints, length, doc_id) are grouped over the whole table.  Texts are moved for
-documents with an equal fingerprint alone: sorted by fingerprint, they stream past the
-distinct texts seen in their group and are compared chunk by chunk, so that a collision
-never merges two texts.
+A document of over ``HUGE`` bytes is cut into pieces that are hashed in separate tasks and combined.
+Only (fingerprints, length, doc_id) are grouped over the whole table.  Texts are moved for documents
+with an equal fingerprint alone.  Each fingerprint has one representative, the row with its smallest
+doc_id.  Its copies are spread over salts of about ``PER_SALT`` rows, the representative's text goes once to
+each salt, and the copies stream past it and are compared chunk by chunk.  Rows that only collide
+with their representative get one of their own in a further round, so no two texts are ever merged and
+no task holds a group.
 
 Defined results: a null text equals other null texts and nothing else; empty texts are copies
 of each other; the copy kept has the smallest doc_id (a null doc_id comes last), and of
@@ -17,18 +20,21 @@ repeated rows one stays; an empty table gives an empty result; extra columns pas
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .work import map_arrow, saved, sized
+from .work import ROWS_AT_ONCE, map_arrow, saved, sized
 
 P = (1 << 61) - 1
 BASES = (0x1B873593CC9E2D51 % P, 0x0F58476D1CE4E5B9 % P)
 CHUNK = 1 << 16
+HUGE, PIECE, PER_SALT = 32 << 20, 1 << 22, 512
 KEYS = ["fp_a", "fp_b", "fp_bytes"]
 FP = "fp_a bigint, fp_b bigint, fp_bytes bigint"
 
@@ -92,93 +98,162 @@ def fingerprints(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return fps[0], fps[1], size
 
 
-def with_fingerprints(docs: DataFrame) -> DataFrame:
-    """``docs`` with the three fingerprint columns before its own; ``text`` may have any place."""
+def huge_fingerprints(docs: DataFrame, limit: int = HUGE, piece: int = PIECE) -> DataFrame | None:
+    """huge_id, huge_hash and fingerprints of the documents of over ``limit`` bytes, hashed piece by piece; None without any.
+
+    A document is known by its doc_id and a hash of its text here, as these are cheap to have again.
+    """
+    slim = docs.select("doc_id", "text").where(F.octet_length("text") > limit)
+    big = slim.select("doc_id", F.xxhash64("text").alias("hash"), F.col("text").cast("binary").alias("t"))
+    pieces = big.select("doc_id", "hash", "t", F.explode(F.expr(f"sequence(0, (length(t) - 1) div {piece})")).alias("k"))
+    pieces = pieces.select("doc_id", "hash", "k", F.expr(f"substring(t, cast(k * {piece} + 1 as int), {piece})").alias("t"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        fps = fingerprints(batch.column(3))
+        return pa.RecordBatch.from_arrays([*batch.columns[:3], *map(pa.array, fps)], names=["doc_id", "hash", "k", *KEYS])
+
+    def combined(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for parts in batch.column(2).to_pylist():
+            parts.sort(key=lambda p: p["k"])
+            out.append(reduce(lambda x, p: (*(combine(x[i], p[KEYS[i]], p["fp_bytes"], BASES[i]) for i in (0, 1)), x[2] + p["fp_bytes"]), parts, (0, 0, 0)))
+        columns = [*batch.columns[:2], *(pa.array([x[i] for x in out], pa.int64()) for i in range(3))]
+        return pa.RecordBatch.from_arrays(columns, names=["huge_id", "huge_hash", *KEYS])
+
+    parts = map_arrow(pieces.repartition("doc_id", "hash", "k"), hashed, f"doc_id {kind}, hash bigint, k bigint, {FP}", 4)
+    # repeated rows have the same parts
+    whole = parts.groupBy("doc_id", "hash").agg(F.collect_set(F.struct("k", *KEYS)).alias("parts"))
+    found = saved(map_arrow(whole, combined, f"huge_id {kind}, huge_hash bigint, {FP}"), "huge")
+    return None if found.isEmpty() else found
+
+
+def with_fingerprints(docs: DataFrame, huge: DataFrame | None = None, limit: int = HUGE) -> DataFrame:
+    """``docs`` with the fingerprint columns and a lane, a number that no other row has, before its own; ``text`` may have any place."""
     kept = docs.columns
     inner = docs.toDF(*[f"c{i}" for i in range(len(kept))])
     text = kept.index("text")
-    schema = FP + "".join(f", c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
-
-    def add(batch: pa.RecordBatch) -> pa.RecordBatch:
-        a, b, n = fingerprints(batch.column(text))
-        columns = [pa.array(a), pa.array(b), pa.array(n), *batch.columns]
-        return pa.RecordBatch.from_arrays(columns, names=[*KEYS, *batch.schema.names])
+    own = "".join(f", c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
 
-    return map_arrow(inner, add, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId() << 40
+        for whole in batches:
+            for lo in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(lo, ROWS_AT_ONCE)
+                lane = np.arange(at, at + batch.num_rows, dtype=np.int64)
+                at += batch.num_rows
+                columns = [*map(pa.array, fingerprints(batch.column(text))), pa.array(lane), *batch.columns]
+                yield pa.RecordBatch.from_arrays(columns, names=[*KEYS, "lane", *batch.schema.names])
+
+    schema = f"{FP}, lane bigint{own}"
+    if huge is None:
+        return inner.mapInArrow(run, schema)
+    doc_id = kept.index("doc_id")
+    here = F.coalesce(F.octet_length(f"c{text}"), F.lit(0)) <= limit
+    match = (F.xxhash64(f"c{text}") == huge["huge_hash"]) & F.col(f"c{doc_id}").eqNullSafe(huge["huge_id"])
+    wide = inner.where(~here).join(sized(huge, 192), match).withColumn("lane", -1 - F.monotonically_increasing_id())
+    return inner.where(here).mapInArrow(run, schema).unionByName(wide.select(*KEYS, "lane", *inner.columns))
 
 
 def _same(a: bytes | None, b: bytes | None) -> bool:
     """Chunkwise comparison: stops at the first chunk that differs."""
     if a is None or b is None:
         return a is b
-    x, y = memoryview(a), memoryview(b)
+    # an Arrow buffer has signed bytes, and a view compares values
+    x, y = memoryview(a).cast("B"), memoryview(b).cast("B")
     return len(x) == len(y) and all(x[i : i + CHUNK] == y[i : i + CHUNK] for i in range(0, len(x), CHUNK))
 
 
-def _verifier(text: int, doc_id: int):
-    """Over rows sorted by fingerprint and doc_id: adds the doc_id and ordinal of the first row with the same text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, seen = None, []
-        for batch in batches:
-            keys = zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
-            texts, ids = batch.column(3 + text), batch.column(3 + doc_id)
-            first, group = [], []
-            for i, key in enumerate(keys):
-                raw = texts[i].as_buffer() if texts[i].is_valid else None
-                if key != now:
-                    now, seen = key, []
-                for other, its_id in seen:
-                    if _same(raw, other):
-                        first.append(False)
-                        group.append(its_id)
-                        break
-                else:
-                    its_id = ids[i].as_py()
-                    seen.append((None if raw is None else bytes(raw), its_id))
-                    first.append(True)
-                    group.append(its_id)
-            columns = [pa.array(first, pa.bool_()), pa.array(group, ids.type), *batch.columns[3:]]
-            yield pa.RecordBatch.from_arrays(columns, names=["first_copy", "group_id", *batch.schema.names[3:]])
-
-    return run
-
-
-def _shared(docs: DataFrame) -> DataFrame:
-    """Saved: the fingerprints that two or more rows have."""
-    slim = with_fingerprints(docs.select("text")).drop("c0")
-    return saved(slim.groupBy(*KEYS).agg(F.count("*").alias("rows")).where("rows > 1").drop("rows"), "exact")
+def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows (fingerprint, salt, copy, lane, doc_id, text), each salt led by its representative (copy = 0): what each copy is.
+
+    lane, doc_id, group_id (the representative's), whether it is that row itself and whether the texts are equal.
+    """
+    group, lane, text = None, None, None
+    for batch in batches:
+        copy, lanes, ids, texts = (batch.column(i) for i in range(4, 8))
+        at, groups, first, same = [], [], [], []
+        for i, (c, its) in enumerate(zip(copy.to_pylist(), lanes.to_pylist(), strict=True)):
+            raw = texts[i].as_buffer() if texts[i].is_valid else None
+            if c == 0:
+                group, lane, text = ids[i].as_py(), its, None if raw is None else bytes(raw)
+                continue
+            at.append(i)
+            groups.append(group)
+            first.append(its == lane)
+            same.append(_same(raw, text))
+        at = pa.array(at, pa.int64())
+        columns = [lanes.take(at), ids.take(at), pa.array(groups, ids.type), pa.array(first, pa.bool_()), pa.array(same, pa.bool_())]
+        yield pa.RecordBatch.from_arrays(columns, names=["lane", "doc_id", "group_id", "first_copy", "same"])
 
 
 def _on(left: DataFrame, right: DataFrame) -> Column:
     return (left["fp_a"] == right["fp_a"]) & (left["fp_b"] == right["fp_b"]) & (left["fp_bytes"] == right["fp_bytes"])
 
 
-def _split(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows with a fingerprint of their own, and the verified rows of the others."""
-    shared = sized(_shared(docs), 64)
-    marked = with_fingerprints(docs)
-    single = marked.join(shared, _on(marked, shared), "left_anti").drop(*KEYS)
-    names = docs.columns
-    text, doc_id = names.index("text"), names.index("doc_id")
-    copies = marked.join(shared, _on(marked, shared), "left_semi")
-    copies = copies.repartition(*KEYS).sortWithinPartitions(*KEYS, F.col(f"c{doc_id}").asc_nulls_last())
-    types = [f.dataType.simpleString() for f in docs.schema.fields]
-    schema = f"first_copy boolean, group_id {types[doc_id]}" + "".join(f", c{i} {t}" for i, t in enumerate(types))
-    return single, copies.mapInArrow(_verifier(text, doc_id), schema)
+def _round(copies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of rows (fingerprint, n, lane, doc_id, text): the representatives, and every row held against its own."""
+    order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "lane")
+    best = copies.groupBy(*KEYS).agg(F.min(order).alias("best"))
+    best = saved(best.select(F.col("best.lane").alias("rep_lane")), "exact-kept")
+    chosen = sized(best, 64)
+    led = copies.join(chosen, copies["lane"] == chosen["rep_lane"], "left_semi")
+    salts = F.expr(f"1 + (n - 1) div {PER_SALT}")
+    led = led.select(*KEYS, F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1)).alias("salt"), F.lit(0).alias("copy"), "lane", "doc_id", "text")
+    rest = copies.select(*KEYS, F.pmod(F.xxhash64("lane"), salts).alias("salt"), F.lit(1).alias("copy"), "lane", "doc_id", "text")
+    rows = led.unionByName(rest).repartition(*KEYS, "salt").sortWithinPartitions(*KEYS, "salt", "copy")
+    kind = copies.schema["doc_id"].dataType.simpleString()
+    return best, saved(rows.mapInArrow(verify, f"lane bigint, doc_id {kind}, group_id {kind}, first_copy boolean, same boolean"), "exact-verified")
+
+
+def _held(copies: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Lanes of the rows to keep, and lane, doc_id, group_id, first_copy, same of all; rounds go on while some row only collides."""
+    left = copies.select(*KEYS, "n", "lane", F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    kept, every = _round(left)
+    wrong = every.where("NOT same").select("lane")
+    while not wrong.isEmpty():
+        left = left.join(sized(wrong, 64).withColumnRenamed("lane", "wrong"), F.col("lane") == F.col("wrong"), "left_semi")
+        more, found = _round(left)
+        kept, every = kept.unionByName(more), every.where("same").unionByName(found)
+        wrong = found.where("NOT same").select("lane")
+    return kept, every
+
 
+def _shared(prints: DataFrame) -> DataFrame:
+    """Saved: the fingerprints that two or more rows have, with the number of rows."""
+    return saved(prints.groupBy(*KEYS).agg(F.count("*").alias("n")).where("n > 1"), "exact")
 
-def exact_groups(docs: DataFrame) -> DataFrame:
+
+def _copies(docs: DataFrame, shared: DataFrame, huge: DataFrame | None, limit: int) -> DataFrame:
+    """Saved: the rows whose fingerprint is shared, with n; only saved rows have lanes that stay."""
+    marked = with_fingerprints(docs, huge, limit)
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    return saved(marked.join(shared, _on(marked, shared)).select(*(marked[k] for k in KEYS), "n", "lane", *own), "exact-copies")
+
+
+def exact_groups(docs: DataFrame, limit: int = HUGE) -> DataFrame:
     """doc_id, group_id (the smallest doc_id with the same text) and keep (one row of each group) for every row."""
-    single, copies = _split(docs.select("doc_id", "text"))
-    one = single.select(F.col("c0").alias("doc_id"), F.col("c0").alias("group_id"), F.lit(True).alias("keep"))
-    return one.unionByName(copies.select(F.col("c0").alias("doc_id"), "group_id", F.col("first_copy").alias("keep")))
+    docs = docs.select("doc_id", "text")
+    huge = huge_fingerprints(docs, limit)
+    prints = saved(with_fingerprints(docs, huge, limit).select(*KEYS, "c0"), "exact-prints")
+    shared = sized(_shared(prints), 192)
+    one = prints.join(shared, _on(prints, shared), "left_anti")
+    one = one.select(F.col("c0").alias("doc_id"), F.col("c0").alias("group_id"), F.lit(True).alias("keep"))
+    _, every = _held(_copies(docs, shared, huge, limit), "c0", "c1")
+    return one.unionByName(every.select("doc_id", "group_id", F.col("first_copy").alias("keep")))
 
 
-def exact_dedup(docs: DataFrame) -> DataFrame:
+def exact_dedup(docs: DataFrame, limit: int = HUGE) -> DataFrame:
     """``docs`` with one row of each distinct text."""
-    single, copies = _split(docs)
-    return single.unionByName(copies.where("first_copy").drop("first_copy", "group_id")).toDF(*docs.columns)
+    names = docs.columns
+    huge = huge_fingerprints(docs, limit)
+    shared = sized(_shared(with_fingerprints(docs.select("doc_id", "text"), huge, limit)), 192)
+    marked = with_fingerprints(docs, huge, limit)
+    single = marked.join(shared, _on(marked, shared), "left_anti").drop(*KEYS, "lane")
+    copies = _copies(docs, shared, huge, limit)
+    kept, _ = _held(copies, *(f"c{names.index(c)}" for c in ("doc_id", "text")))
+    kept = copies.join(kept, copies["lane"] == kept["rep_lane"], "left_semi").drop(*KEYS, "n", "lane")
+    return single.unionByName(kept).toDF(*names)
 
 
 ORACLE = """

@@ -19,6 +19,7 @@ def awkward():
         (1, a, "en", "s"), (2, a, "en", "s"), (2, a, "en", "s"), (3, " ".join(near), "en", None), (4, b, None, "t"), (None, b, "en", "s"),
         (None, None, None, None), (5, None, "en", "s"), (6, "", "en", "s"), (7, "", "de", "s"), (8, " \n\t ", "en", "s"), (9, "one", "en", "s"),
         (10, LONG, "en", "s"), (11, LONG, "en", "s"), (12, prose(3), "fr", "s"), (13, "é ü ñ 漢字 🙂 " + prose(4), "en", "s"),
+        (14, "é ü ñ 漢字 🙂 " + prose(4), "en", "s"), (15, "café", "fr", "s"), (16, "café", "fr", "s"),
     ]
     return [(*r, len(r[1]) if r[1] is not None else None) for r in rows]
 

@@ -1,10 +1,14 @@
+import os
+
+import duckdb
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from plumbline.llm import exact, simhash
 from plumbline.llm import kernels as K
 
-from .common import CLASH, awkward, clashing, empty, prose, table
+from .common import CLASH, LONG, awkward, clashing, empty, prose, table
 
 
 def test_fingerprints_compose_and_are_the_polynomial():
@@ -43,12 +47,43 @@ def test_exact_dedup_keeps_one_of_each_text(spark):
 
 
 def test_a_collision_is_not_merged(monkeypatch, spark):
-    run = exact._verifier(1, 0)
-    batch = pa.RecordBatch.from_arrays(
-        [pa.array([1, 1, 1]), pa.array([2, 2, 2]), pa.array([3, 3, 3]), pa.array([7, 8, 9]), pa.array(["abc", "abd", "abc"])], names=["fp_a", "fp_b", "fp_bytes", "c0", "c1"]
-    )
-    out = next(run(iter([batch])))
-    assert out.column(0).to_pylist() == [True, True, False] and out.column(1).to_pylist() == [7, 8, 7]
+    text = ["abc", "abd", "abc", "caf\u00e9", "\u6f22\u5b57", "abc"]
+    rows = [(1, 2, 3, 6, k, 7 + k, t) for k, t in enumerate(text)]
+    copies = spark.createDataFrame(rows, f"{exact.FP}, n bigint, lane bigint, c0 bigint, c1 string")
+    for per in (512, 2):
+        monkeypatch.setattr(exact, "PER_SALT", per)
+        kept, every = exact._held(copies, "c0", "c1")
+        assert sorted(r[0] for r in kept.collect()) == [0, 1, 3, 4]
+        got = sorted((r["doc_id"], r["group_id"], r["first_copy"]) for r in every.collect())
+        assert got == [(7, 7, True), (8, 8, True), (9, 7, False), (10, 10, True), (11, 11, True), (12, 7, False)]
+
+
+@pytest.mark.parametrize("text", ["abc", "caf\u00e9", "\u6f22\u5b57 \U0001f642", ""])
+def test_equal_bytes_are_equal(text):
+    raw = pa.array([text])[0].as_buffer()
+    assert exact._same(raw, text.encode()) and not exact._same(raw, text.encode() + b"x")
+
+
+def test_huge_documents_are_hashed_in_pieces(spark, monkeypatch):
+    docs = table(spark, [*awkward(), (20, LONG + "x", "en", "s", 1), (20, LONG + "x", "en", "s", 1)])
+    found = exact.huge_fingerprints(docs, 1000, 70_000).collect()
+    texts = {LONG, LONG + "x", *(r[1] for r in awkward() if r[1] and len(r[1].encode()) > 1000)}
+    want = list(zip(*(x.tolist() for x in exact.fingerprints(pa.array(sorted(texts)))), strict=True))
+    assert {(r["fp_a"], r["fp_b"], r["fp_bytes"]) for r in found} == set(want) and len(found) > 2
+    whole = exact.exact_groups(docs).select("doc_id", "group_id", "keep").collect()
+    cut = exact.exact_groups(docs, 1000).select("doc_id", "group_id", "keep").collect()
+    assert sorted(map(str, whole)) == sorted(map(str, cut))
+    assert sorted(str(r["text"]) for r in exact.exact_dedup(docs, 1000).collect()) == sorted(str(r["text"]) for r in exact.exact_dedup(docs).collect())
+
+
+def test_exact_groups_equal_sql(spark):
+    d = "/root/testdata/sf0.01"
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet/*.parquet'" if os.path.isdir(f"{d}/documents.parquet") else f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet'")
+    want = sorted(db.execute(exact.ORACLE).fetchall())
+    got = exact.exact_groups(spark.read.parquet(f"{d}/documents.parquet")).select("doc_id", "group_id", "keep").collect()
+    assert sorted(map(tuple, got)) == want
+    assert any(not r[2] for r in want)
 
 
 def _corpus():
