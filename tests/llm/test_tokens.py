@@ -32,6 +32,17 @@ def test_merging_is_synchronous_over_ragged_pieces():
     assert tokencount.merge_counts(pieces, vocabulary()).tolist() == want
 
 
+def test_long_pieces_go_by_rank():
+    rng = random.Random(8)
+    pieces = [b"x" * 300, b"ab" * 500, b"a" * tokencount.LONG, b"a" * (tokencount.LONG + 1)]
+    pieces += ["".join(rng.choice("aab") for _ in range(rng.randint(1, 500))).encode() for _ in range(200)]
+    pieces += ["".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randint(250, 3000))).encode() for _ in range(40)]
+    want = [len(ORACLE.encode_ordinary(p.decode())) for p in pieces]
+    assert tokencount.merge_counts(pieces, vocabulary()).tolist() == want
+    one = "".join(rng.choice("etaoinshrdlu") for _ in range(300_000))
+    assert tokencount.count_tokens([one]) == [len(ORACLE.encode_ordinary(one))]
+
+
 def test_edits_and_appends_encode_only_nearby():
     rng = random.Random(2)
     text = bpe.EditableText(bpe.codec(), "The quick brown fox. " * 300)
