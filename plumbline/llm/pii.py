@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import bisect
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ SPANS = "array<struct<start:int,end:int,kind:string,score:double>>"
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
-        d = ord(c) - 48
+        d = int(c)
         total += d if i % 2 == 0 else (d * 2 - 9 if d > 4 else d * 2)
     return total % 10 == 0
 
@@ -77,35 +77,41 @@ def _always(score: float) -> Callable[[re.Match[str]], float]:
     return lambda m: score
 
 
-# kind, the substrings of which one must occur (None: any digit), pattern, score of a match, words nearby that raise it
+_PHONES = ("phone", "tel", "call", "mobile", "fax", "cell")
+#: Kind, what must be in the text ("digit": the pattern holds one near its ends, so stretches around digits are enough), pattern,
+#: score of a match, words nearby that raise it.  What must be there is a part of the pattern, so no match is lost by looking for it first.
 _KINDS = [
-    ("EMAIL", "@", r"[\w.%+'-]{1,64}@[\w-]{1,63}(?:\.[\w-]{1,63})+", _always(0.9), ()),
-    ("IBAN", None, r"(?i)(?<![A-Z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Z0-9])", _iban, ("iban", "account", "bank")),
-    ("CARD", None, r"(?<![\d.+-])\d(?:[ -]?\d){12,18}(?![\d-])", _card, ("card", "visa", "mastercard", "amex", "credit", "carte", "karte", "tarjeta")),
-    ("SSN", None, r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", _ssn, ("ssn", "social", "security")),
-    ("IPV4", None, r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)", _ipv4, ("ip", "address", "host", "server")),
-    ("PHONE", None, r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,4}\)[ .-]?)?\d{2,5}(?:[ .-]\d{2,5}){1,4}(?![\w]|[.-]\d)", _phone, ("phone", "tel", "call", "mobile", "fax", "cell")),
+    ("EMAIL", "@", r"[\w.%+'-]+@[\w-]+(?:\.[\w-]+)+", _always(0.9), ()),
+    ("IBAN", "digit", r"(?i)(?<![A-Z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Z0-9])", _iban, ("iban", "account", "bank")),
+    ("CARD", "digit", r"(?<![\d.+-])\d(?:[ -]?\d){12,18}(?![\d-])", _card, ("card", "visa", "mastercard", "amex", "credit", "carte", "karte", "tarjeta")),
+    ("SSN", "digit", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", _ssn, ("ssn", "social", "security")),
+    ("IPV4", "digit", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)", _ipv4, ("ip", "address", "host", "server")),
+    ("PHONE", "digit", r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,4}\)[ .-]?)?\d{2,5}(?:[ .-]\d{2,5}){1,4}(?![\w]|[.-]\d)", _phone, _PHONES),
     ("PHONE", "+", r"(?<![\w.+])\+\d(?:[ .-]?\(?\d\)?){7,14}(?![\w]|[.-]\d)", _phone, ()),
-    ("PHONE", None, r"(?<![\w.+-])\d(?:[ .-]?\d){7,14}(?![\w]|[.-]\d)", _always(0.35), ("phone", "tel", "call", "mobile", "fax", "cell")),
-    ("SECRET", None, r"""(?i)\b(?:api[_-]?key|access[_-]?key|auth[_-]?token|token|secret|passw(?:or)?d|pwd|key)["']?\s*[:=]\s*["']?(?P<v>[\w+/.~-]{8,})=*["']?""", _secret, ("bearer", "authorization", "credential")),
-    ("SECRET", None, r"\bAKIA[0-9A-Z]{16}\b", _always(0.95), ()),
+    ("PHONE", "digit", r"(?<![\w.+-])\d(?:[ .-]?\d){7,14}(?![\w]|[.-]\d)", _always(0.35), _PHONES),
+    ("SECRET", "=:", r"""(?i)\b(?:api[_-]?key|access[_-]?key|auth[_-]?token|token|secret|passw(?:or)?d|pwd|key)["']?\s*[:=]\s*["']?(?P<v>[\w+/.~-]{8,})=*["']?""", _secret, ("bearer", "authorization", "credential")),
+    ("SECRET", "AKIA", r"\bAKIA[0-9A-Z]{16}\b", _always(0.95), ()),
     ("SECRET", "-----BEGIN", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?(?:-----END [A-Z ]*PRIVATE KEY-----|\Z)", _always(0.95), ()),
     ("SECRET", "eyJ", r"\beyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]*", _always(0.9), ()),
-    ("SECRET", None, r"(?i)(?<![0-9a-z])(?=[0-9a-f]*\d)(?=[0-9a-f]*[a-f])[0-9a-f]{32,}(?![0-9a-z])", _always(0.6), ()),
+    ("SECRET", "hex", r"(?<![0-9A-Za-z])(?=[0-9a-fA-F]*[0-9])(?=[0-9a-fA-F]*[a-fA-F])[0-9a-fA-F]{32,}(?![0-9A-Za-z])", _always(0.6), ()),
 ]
 _RULES = [(kind, need, re.compile(p), score, re.compile(r"(?i)\b(?:%s)" % "|".join(near)) if near else None) for kind, need, p, score, near in _KINDS]
-_DIGIT = re.compile(r"[0-9]")
+_DIGIT, _HEX = re.compile(r"\d"), re.compile(r"[0-9a-fA-F]{32,}")
+#: The two sides of an address, looked for from its sign.
+_LOCAL, _AFTER = re.compile(r"[\w.%+'-]"), re.compile(r"[\w-]+(?:\.[\w-]+)+")
+#: No span of a kind that needs digits has more than FAR characters before its first or behind its last digit, nor GAP between two.
+FAR, GAP = 160, 200
 
 
 def _near_digits(text: str) -> list[tuple[int, int]]:
-    """Stretches around digits, far enough to hold any span with one; cut at white space where there is some."""
+    """Stretches around digits, far enough to hold any span with one."""
     out: list[tuple[int, int]] = []
     pos = 0
     while m := _DIGIT.search(text, pos):
-        lo, hi = max(0, m.start() - 160), m.start()
-        while nxt := _DIGIT.search(text, hi, hi + 200):
+        lo, hi = max(0, m.start() - FAR), m.start()
+        while nxt := _DIGIT.search(text, hi, hi + GAP):
             hi = nxt.end()
-        hi = min(len(text), hi + 160)
+        hi = min(len(text), hi + FAR)
         if out and lo <= out[-1][1]:
             out[-1] = (out[-1][0], hi)
         else:
@@ -114,27 +120,50 @@ def _near_digits(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _addresses(text: str) -> list[tuple[int, int]]:
+    """What the pattern of e-mail addresses matches, of any length, in linear time: each sign is looked at once."""
+    out: list[tuple[int, int]] = []
+    at, end = text.find("@"), 0
+    while at >= 0:
+        begin = at
+        while begin > end and _LOCAL.match(text, begin - 1):
+            begin -= 1
+        if begin < at and (m := _AFTER.match(text, at + 1)):
+            end = m.end()
+            out.append((begin, end))
+        at = text.find("@", at + 1)
+    return out
+
+
+def _proposed(text: str, need: str, pattern: re.Pattern[str], stretches: list[tuple[int, int]]) -> Iterator[re.Match[str]]:
+    if need == "@":
+        for a, b in _addresses(text) if "@" in text else ():
+            yield pattern.match(text, a, b)
+    elif need == "digit":
+        for lo, hi in stretches:
+            yield from pattern.finditer(text, lo, hi)
+    elif need == "hex":
+        for m in _HEX.finditer(text):
+            # the run is whole, so only its surroundings are left to see
+            if found := pattern.match(text, m.start()):
+                yield found
+    elif ("=" in text or ":" in text) if need == "=:" else need in text:
+        yield from pattern.finditer(text)
+
+
 def find_spans(text: str) -> list[tuple[int, int, str, float]]:
     """(start, end, kind, score) of every span taken, by place; offsets are in characters."""
     found: list[tuple[float, int, int, str]] = []
     stretches = _near_digits(text)
     for kind, need, pattern, score, near in _RULES:
-        if need == "@":
-            where = [(max(0, i - 65), min(len(text), i + 320)) for i in (m.start() for m in re.finditer("@", text))]
-        elif need is not None:
-            where = [(0, len(text))] if need in text else []
-        else:
-            where = stretches
-        for lo, hi in where:
-            for m in pattern.finditer(text, lo, hi):
-                s = score(m)
-                if s >= 0 and near is not None and (
-                    near.search(text, max(0, m.start() - CONTEXT), m.start()) or near.search(text, m.end(), m.end() + CONTEXT)
-                ):
-                    s += 0.25
-                if s >= THRESHOLD:
-                    found.append((min(s, 1.0), m.start(), m.end(), kind))
-    found.extend(_secrets_without_digits(text))
+        for m in _proposed(text, need, pattern, stretches):
+            s = score(m)
+            if s >= 0 and near is not None and (
+                near.search(text, max(0, m.start() - CONTEXT), m.start()) or near.search(text, m.end(), m.end() + CONTEXT)
+            ):
+                s += 0.25
+            if s >= THRESHOLD:
+                found.append((min(s, 1.0), m.start(), m.end(), kind))
     taken: list[tuple[int, int, str, float]] = []
     for s, a, b, kind in sorted(set(found), key=lambda x: (-x[0], x[1] - x[2], x[1], x[3])):
         i = bisect.bisect_left(taken, (a,))
@@ -143,14 +172,6 @@ def find_spans(text: str) -> list[tuple[int, int, str, float]]:
     return taken
 
 
-def _secrets_without_digits(text: str) -> list[tuple[float, int, int, str]]:
-    """Assignments to a secret's name whose value has no digit nearby."""
-    _, _, pattern, score, _ = next(rule for rule in _RULES if rule[0] == "SECRET")
-    if "=" not in text and ":" not in text:
-        return []
-    return [(s, m.start(), m.end(), "SECRET") for m in pattern.finditer(text) if (s := score(m)) >= THRESHOLD]
-
-
 def redacted(text: str, spans: list[tuple[int, int, str, float]]) -> str:
     out, at = [], 0
     for a, b, kind, _ in spans:
