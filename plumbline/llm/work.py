@@ -16,9 +16,11 @@ ROWS_AT_ONCE = 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one is made only where the setting is missing, as in tests."""
+    """The folder of ``spark.checkpoint.dir``; one is made only where the setting is missing and there is one machine, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="plumbline-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -36,7 +38,10 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 
 def sized(df: DataFrame, bytes_per_row: int) -> DataFrame:
-    """``df`` (a saved table) marked for broadcast if its counted size is small, else as it is, for a shuffled join."""
+    """``df`` (a saved table) marked for broadcast if its counted size is small, else as it is, for a shuffled join.
+
+    ``bytes_per_row`` is what a row takes in a hashed relation: its words, its key again, and pointers.
+    """
     return F.broadcast(df) if df.count() * bytes_per_row <= BROADCAST_BYTES else df
 
 
