@@ -40,6 +40,8 @@ from .work import map_arrow, saved, shared_path
 
 MIN_COUNT, PRUNE, DISCOUNT = 2, 2, 0.75
 VOCAB_SHARDS, SHARD_WORDS, SLICE, BATCH_ROWS = 64, 1_500_000, (2 << 20) - 2, 1 << 20
+#: Bundles that a worker holds in memory where they can't be mapped; the oldest goes first.
+HELD = 128
 FLOOR = -24.0
 
 
@@ -87,6 +89,8 @@ class Store:
             else:
                 info = system.get_file_info(full)
                 raw = np.frombuffer(system.open_input_file(full).read(), np.uint8) if info.is_file else None
+                while len(self.cache) >= HELD:
+                    self.cache.pop(next(iter(self.cache)))
             out = {}
             if raw is not None:
                 n = int.from_bytes(raw[:8].tobytes(), "little")
@@ -121,8 +125,8 @@ class Words:
     def size(self) -> int:
         return self.offsets[-1] + 1
 
-    def numbers(self, hashes: np.ndarray) -> np.ndarray:
-        """Number of each word, 0 for the unknown word."""
+    def numbers(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the distinct words, 0 for the unknown word, and which of them each word is."""
         uniq, inverse = np.unique(hashes, return_inverse=True)
         out = np.zeros(len(uniq), np.int64)
         bounds = np.searchsorted(_vocab_shard(uniq), np.arange(VOCAB_SHARDS + 1))
@@ -133,7 +137,7 @@ class Words:
                 at = np.searchsorted(known, uniq[lo:hi])
                 ok = known[np.minimum(at, len(known) - 1)] == uniq[lo:hi]
                 out[lo:hi] = np.where(ok, self.offsets[s] + at + 1, 0)
-        return out[inverse]
+        return out, inverse
 
     def column(self, ids: np.ndarray, what: str) -> np.ndarray:
         """Counts ("count") or back-off codes ("backoff") of word numbers."""
@@ -186,15 +190,21 @@ def _pair_shard(pair: np.ndarray, shards: int) -> np.ndarray:
     return (K.mix(pair.astype(np.uint64), 31) % np.uint64(shards)).astype(np.int64)
 
 
+def _by_shard(shard: np.ndarray, shards: int) -> np.ndarray:
+    """Places in the order of their shards; 16-bit numbers are sorted by radix."""
+    return np.argsort(shard.astype(np.uint16 if shards <= 1 << 16 else np.int64), kind="stable")
+
+
 def _pairs(buf: np.ndarray, offsets: np.ndarray, words: Words) -> tuple[np.ndarray, ...]:
-    """Word numbers, their rows, the distinct bigrams, where each word's bigram is among them (-1: none)."""
+    """Word numbers (of the distinct words, and which each is), rows, the distinct bigrams, where each word's bigram is among them (-1: none)."""
     _, _, row, hashes = K.words(buf, offsets)
-    ids = words.numbers(hashes)
+    numbers, is_word = words.numbers(hashes)
+    ids = numbers[is_word]
     at = np.flatnonzero(row[1:] == row[:-1]) + 1 if len(row) else np.zeros(0, np.int64)
     uniq, inverse = np.unique(ids[at - 1] << 32 | ids[at], return_inverse=True)
     which = np.full(len(ids), -1, np.int64)
     which[at] = inverse
-    return ids, row, uniq, which
+    return numbers, is_word, row, uniq, which
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -222,27 +232,25 @@ def _blocks(docs: DataFrame, words: Words, shards: int) -> DataFrame:
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         to, blobs = [], []
         for _, _, buf, offsets in K.slices(batch.column(0), SLICE):
-            ids, row, pair, which = _pairs(buf, offsets, words)
+            numbers, is_word, row, pair, which = _pairs(buf, offsets, words)
             if not len(pair):
                 continue
+            ids = numbers[is_word]
             count = np.bincount(which[which >= 0], minlength=len(pair))
             at = np.flatnonzero((row[2:] == row[:-2])) + 2
             tri, tri_count = np.unique(which[at - 1] << 32 | ids[at], return_counts=True)
             shard = _pair_shard(pair, shards)
             parent, child = tri >> 32, tri & 0xFFFFFFFF
-            order = np.argsort(shard, kind="stable")
-            tri_order = np.argsort(shard[parent], kind="stable")
+            order, tri_order = _by_shard(shard, shards), _by_shard(shard[parent], shards)
             b2 = np.searchsorted(shard[order], np.arange(shards + 1))
             b3 = np.searchsorted(shard[parent][tri_order], np.arange(shards + 1))
             local = np.empty(len(pair), np.int64)
             local[order] = np.arange(len(pair)) - b2[shard[order]]
-            for s in range(shards):
-                p = order[b2[s] : b2[s + 1]]
-                if len(p):
-                    t = tri_order[b3[s] : b3[s + 1]]
-                    first, up = pair[p] >> 32, local[parent[t]]
-                    to.append(s)
-                    blobs.append(_pack(np.diff(first, prepend=0), pair[p] & 0xFFFFFFFF, count[p], np.diff(up, prepend=0), child[t], tri_count[t]))
+            for s in np.flatnonzero(np.diff(b2)).tolist():  # those that have some
+                p, t = order[b2[s] : b2[s + 1]], tri_order[b3[s] : b3[s + 1]]
+                first, up = pair[p] >> 32, local[parent[t]]
+                to.append(s)
+                blobs.append(_pack(np.diff(first, prepend=0), pair[p] & 0xFFFFFFFF, count[p], np.diff(up, prepend=0), child[t], tri_count[t]))
         return pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(blobs, pa.binary())], names=["shard", "block"])
 
     return map_arrow(docs.select("text"), fn, "shard int, block binary", BATCH_ROWS)
@@ -321,7 +329,7 @@ class Trie:
         """For sorted distinct pairs: node (-1: none), direct probability, weight left for shorter contexts (1: no children)."""
         node, p, backoff = np.full(len(pair), -1, np.int64), np.zeros(len(pair)), np.ones(len(pair))
         shard = _pair_shard(pair, self.shards)
-        order = np.argsort(shard, kind="stable")
+        order = _by_shard(shard, self.shards)
         bounds = np.searchsorted(shard[order], np.arange(self.shards + 1))
         for s in np.unique(shard).tolist():
             level = self._level(s)
@@ -346,7 +354,7 @@ class Trie:
         """Direct probability of third words after bigram nodes."""
         out = np.zeros(len(pair))
         shard = _pair_shard(pair, self.shards)
-        order = np.argsort(shard, kind="stable")
+        order = _by_shard(shard, self.shards)
         bounds = np.searchsorted(shard[order], np.arange(self.shards + 1))
         for s in np.unique(shard).tolist():
             level = self._level(s)
@@ -359,10 +367,9 @@ class Trie:
     def score(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Words and log probability of each row."""
         n = len(offsets) - 1
-        ids, row, pair, which = _pairs(buf, offsets, self.words)
-        if not len(ids):
+        uniq, inverse, row, pair, which = _pairs(buf, offsets, self.words)
+        if not len(row):
             return np.zeros(n, np.int64), np.zeros(n)
-        uniq, inverse = np.unique(ids, return_inverse=True)
         one = (np.maximum(self.words.column(uniq, "count"), 1) / self.words.total)[inverse]
         p = one.copy()
         if len(pair):
@@ -375,7 +382,7 @@ class Trie:
             before = which[third - 1]
             third, before = third[node[before] >= 0], before[node[before] >= 0]
             if len(third):
-                p[third] = self.trigrams(pair[before], node[before], ids[third]) + backoff[before] * p[third]
+                p[third] = self.trigrams(pair[before], node[before], uniq[inverse[third]]) + backoff[before] * p[third]
         return np.bincount(row, minlength=n), np.bincount(row, np.log(p), n)
 
 
