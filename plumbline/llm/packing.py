@@ -1,18 +1,20 @@
 """Best-fit packing by a grouping genetic algorithm on islands.
 
-A document of ``size`` bytes goes into bins of ``CAPACITY`` bytes.  A longer one is cut into
-full bins of its own and a rest, which is packed like any other piece.  Pieces are hashed into
+A document goes into bins of ``CAPACITY`` tokens, counted like ``tokencount`` does.  A longer one is cut between pre-tokens (one that alone
+is longer, between characters) into pieces that fill a bin as far as that goes, and a rest.  A piece is a range of characters, so
+``sequences`` can write what a bin holds.  Pieces are hashed into
 regions of about ``REGION`` pieces; each region is bred on ``ISLANDS`` islands, which are
 separate tasks with their own seeds.  Chromosomes are lists of bins.  Crossover injects the
 best-filled bins of one parent into the other, removes the bins that now hold a piece twice and
-best-fits the pieces displaced by that; mutation dissolves the emptiest bins.  Fitness is
-the mean squared fill, which favours few full bins.  After each epoch the elite of every
+best-fits the pieces displaced by that; mutation dissolves the emptiest bins.  Fewer bins are fitter; among
+equals the mean squared fill decides, which favours full bins.  After each epoch the elite of every
 island migrates to the next one in a ring.  The best island of each region gives the bins.
 
-Populations start from best-fit decreasing, so a result is never worse than it.
+Populations start from best-fit decreasing, so a result is never worse than it.  An island whose best
+has as few bins as the tokens need (their sum over the capacity, rounded up) stops, as no other can have fewer.
 Seeds depend on the region and island alone: a lost task is repeated with the same result.
 
-Defined results: null and empty texts have size 0 and get bin -1 (nothing to pack); repeated
+Defined results: null and empty texts have size 0 and get bin -1 (nothing to pack); ties of size go by doc_id and piece; repeated
 rows are packed each; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -23,12 +25,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .work import saved
+from .tokencount import count_piece, count_tokens, piece_counts
+from .vocab import VOCABULARY
+from .work import map_arrow, saved
 
-CAPACITY, REGION, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 16384, 4096, 2, 2, 4, 4
+CAPACITY, REGION, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 4096, 4096, 3, 3, 16, 6
 
 Bin = list[int]
 
@@ -51,7 +56,8 @@ def best_fit(order: list[int], sizes: list[int], bins: list[Bin], capacity: int)
 
 
 def fitness(bins: list[Bin], sizes: list[int], capacity: int) -> float:
-    return sum((sum(sizes[i] for i in b) / capacity) ** 2 for b in bins) / max(len(bins), 1)
+    """Larger is fitter: a bin less outweighs any difference of the mean squared fill, which is below 1."""
+    return sum((sum(sizes[i] for i in b) / capacity) ** 2 for b in bins) / max(len(bins), 1) - len(bins)
 
 
 def crossover(a: list[Bin], b: list[Bin], sizes: list[int], capacity: int, rng: np.random.Generator) -> list[Bin]:
@@ -81,15 +87,20 @@ def mutate(bins: list[Bin], sizes: list[int], capacity: int, rng: np.random.Gene
 
 
 def evolve(sizes: list[int], start: list[list[Bin]], capacity: int, seed: int) -> list[Bin]:
-    """The best chromosome after GENERATIONS; ``start`` may hold none."""
+    """The best chromosome after GENERATIONS, or one with the fewest bins there can be; ``start`` may hold none."""
     rng = np.random.default_rng(seed)
+    least = -(-sum(sizes) // capacity)
     down = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
     population = list(start) or [best_fit(down, sizes, [], capacity)]
+    rate = lambda c: fitness(c, sizes, capacity)
+    if (best := max(population, key=rate)) and len(best) <= least:
+        return best
     while len(population) < POPULATION:
         population.append(best_fit(rng.permutation(len(sizes)).tolist(), sizes, [], capacity))
-    rate = lambda c: fitness(c, sizes, capacity)
     ranked = sorted(population, key=rate, reverse=True)
     for _ in range(GENERATIONS):
+        if len(ranked[0]) <= least:
+            break
         i, j = rng.choice(len(ranked), 2, replace=False).tolist()
         child = crossover(ranked[min(i, j)], ranked[max(i, j)], sizes, capacity, rng)
         if rng.random() < 0.5:
@@ -129,27 +140,60 @@ def _epoch(capacity: int, epoch: int):
     return run
 
 
-def pieces(docs: DataFrame, capacity: int) -> DataFrame:
-    """doc_id, piece (its number), size of what has to be packed."""
-    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes")
-    full = F.expr(f"cast(bytes div {capacity} as int)")
-    rest = F.expr(f"cast(bytes % {capacity} as int)")
-    out = docs.select("doc_id", size).select(
-        "doc_id",
-        "bytes",
-        F.explode(F.expr(f"sequence(0, cast(greatest(bytes - 1, 0) div {capacity} as int))")).alias("piece"),
-    )
-    return out.select("doc_id", "piece", F.when(F.col("piece") < full, F.lit(capacity)).otherwise(rest).alias("size"))
+def _fitting(part: str, capacity: int, path: str) -> int:
+    """How many characters of a long pre-token to take: near as many as fit.  A character has at most four bytes, and so tokens."""
+    low, high = max(1, capacity // 4), min(len(part), 16 * capacity)
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if count_piece(part[:middle], path) <= capacity else (low, middle - 1)
+    return low
+
+
+def cuts(text: str, capacity: int, path: str = VOCABULARY) -> list[tuple[int, int, int]]:
+    """(first character, end, tokens) of the pieces of a text, each of at most ``capacity`` tokens."""
+    out: list[tuple[int, int, int]] = []
+    at = 0
+    for part, count in piece_counts(text, path):
+        if count > capacity:  # its parts begin pieces
+            while part:
+                n = _fitting(part, capacity, path)
+                out.append((at, at + n, count_piece(part[:n], path)))
+                at, part = at + n, part[n:]
+            continue
+        if out and out[-1][2] + count <= capacity:
+            out[-1] = (out[-1][0], at + len(part), out[-1][2] + count)
+        else:
+            out.append((at, at + len(part), count))
+        at += len(part)
+    return out
+
+
+def pieces(docs: DataFrame, capacity: int, path: str = VOCABULARY) -> DataFrame:
+    """doc_id, piece (its number), from_char, to_char and size (in tokens) of what has to be packed."""
 
+    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
+        row, number, spans = [], [], []
+        texts = batch.column(1).to_pylist()
+        for i, (text, n) in enumerate(zip(texts, count_tokens(texts, path), strict=True)):
+            own = cuts(text, capacity, path) if n > capacity else [(0, len(text or ""), n)]
+            row += [i] * len(own)
+            number += range(len(own))
+            spans += own
+        cols = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(number, pa.int32()), *(pa.array([x[k] for x in spans], pa.int32()) for k in range(3))]
+        return pa.RecordBatch.from_arrays(cols, names=["doc_id", "piece", "from_char", "to_char", "size"])
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, region: int = REGION) -> DataFrame:
-    """doc_id, piece, size, bin_id and start (the offset in its bin) of every piece of every row."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return map_arrow(docs.select("doc_id", "text"), fn, f"doc_id {kind}, piece int, from_char int, to_char int, size int")
+
+
+def pack(docs: DataFrame, capacity: int = CAPACITY, region: int = REGION, path: str = VOCABULARY) -> DataFrame:
+    """doc_id, piece, from_char, to_char, size, bin_id and start (the token in its bin) of every piece of every row."""
     # the number of regions follows the number of pieces
-    every = saved(pieces(docs, capacity), "pieces")
+    every = saved(pieces(docs, capacity, path), "pieces")
     loose = every.where(f"size > 0 and size < {capacity}")
     n = max(1, -(-loose.count() // region))
-    keyed = loose.withColumn("region", F.pmod(F.xxhash64("doc_id", "piece", "size"), F.lit(n)))
-    item = F.struct("size", "doc_id", "piece")
+    keyed = loose.withColumn("region", F.pmod(F.xxhash64("doc_id", "piece", "size", F.monotonically_increasing_id()), F.lit(n)))
+    item = F.struct("size", "doc_id", "piece", "from_char", "to_char")
     grouped = keyed.groupBy("region").agg(F.sort_array(F.collect_list(item)).alias("items"))
     grouped = saved(grouped.withColumn("sizes", F.expr("transform(items, x -> x.size)")), "regions")
     islands = grouped.select("region", "sizes", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"))
@@ -164,14 +208,24 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, region: int = REGION) -> Dat
             state = islands.join(solved.drop("fit"), ["region", "island"]).join(ring, ["region", "island"])
             state = state.select("region", "island", "sizes", "own", "elite")
     best = solved.groupBy("region").agg(F.max_by("own", F.struct("fit", -F.col("island"))).alias("best"))
+    own = ["doc_id", "piece", "from_char", "to_char", "size"]
     placed = grouped.join(best, "region").select("region", F.explode(F.arrays_zip("items", "best")).alias("p"))
-    placed = placed.select(
-        F.col("p.items.doc_id").alias("doc_id"), F.col("p.items.piece").alias("piece"), F.col("p.items.size").alias("size"),
-        F.concat_ws("-", "region", "p.best").alias("bin_id"),
-    )
+    placed = placed.select(*(F.col(f"p.items.{c}").alias(c) for c in own), F.concat_ws("-", "region", "p.best").alias("bin_id"))
     start = F.expr("sum(size) over (partition by bin_id order by size desc, doc_id, piece rows unbounded preceding) - size")
-    placed = placed.select("doc_id", "piece", "size", "bin_id", start.cast("int").alias("start"))
+    placed = placed.select(*own, "bin_id", start.cast("int").alias("start"))
     whole = every.where(f"size = {capacity}")
-    whole = whole.select("doc_id", "piece", "size", F.concat_ws("-", F.lit("full"), F.monotonically_increasing_id()).alias("bin_id"), F.lit(0).alias("start"))
-    empty = every.where("size = 0").select("doc_id", "piece", "size", F.lit("-1").alias("bin_id"), F.lit(0).alias("start"))
+    whole = whole.select(*own, F.concat_ws("-", F.lit("full"), F.monotonically_increasing_id()).alias("bin_id"), F.lit(0).alias("start"))
+    empty = every.where("size = 0").select(*own, F.lit("-1").alias("bin_id"), F.lit(0).alias("start"))
     return placed.unionByName(whole).unionByName(empty)
+
+
+def sequences(docs: DataFrame, placed: DataFrame) -> DataFrame:
+    """bin_id, n_tokens, doc_ids and texts (of the pieces, in order of start) of every bin of ``pack``; doc_id must tell rows apart.
+
+    A bin is bounded by the capacity, so its texts fit in one row.
+    """
+    there = placed.where("bin_id <> '-1'").withColumnRenamed("doc_id", "placed_id")
+    joined = docs.select("doc_id", "text").join(there, F.col("doc_id").eqNullSafe(F.col("placed_id")))
+    text = F.expr("substring(text, from_char + 1, to_char - from_char)")
+    held = joined.groupBy("bin_id").agg(F.sort_array(F.collect_list(F.struct("start", "doc_id", "piece", text.alias("text")))).alias("held"), F.sum("size").alias("n_tokens"))
+    return held.select("bin_id", "n_tokens", F.col("held.doc_id").alias("doc_ids"), F.col("held.text").alias("texts"))

@@ -1,10 +1,11 @@
 import collections
+import itertools
 import math
 
 import numpy as np
 import pytest
 
-from plumbline.llm import lm, packing, substring
+from plumbline.llm import lm, packing, substring, tokencount
 from plumbline.llm.eliasfano import EliasFano
 
 from .common import LONG, awkward, clashing, empty, prose, table
@@ -119,15 +120,17 @@ def test_passages_on_awkward_rows(spark):
 
 
 def _check_bins(rows, got, capacity):
-    sizes, fill = collections.Counter(), collections.defaultdict(list)
+    """Brute force: every token is placed once, within the capacity, and the pieces are the texts."""
+    spans, fill = collections.defaultdict(list), collections.defaultdict(list)
     for r in got:
-        sizes[r["doc_id"]] += r["size"]
+        spans[r["doc_id"]].append((r["piece"], r["from_char"], r["to_char"], r["size"]))
         if r["bin_id"] != "-1":
             fill[r["bin_id"]].append((r["start"], r["size"]))
-    want = collections.Counter()
-    for r in rows:
-        want[r[0]] += len((r[1] or "").encode())
-    assert +sizes == +want
+    want = collections.defaultdict(list)
+    for doc_id, text, *_ in rows:
+        want[doc_id] += [(k, a, b, tokencount.count_tokens([text[a:b] if text else ""])[0]) for k, (a, b, _) in enumerate(packing.cuts(text or "", capacity) or [(0, 0, 0)])]
+        assert "".join(text[a:b] for a, b, _ in packing.cuts(text, capacity)) == text if text else True
+    assert {d: sorted(x) for d, x in spans.items()} == {d: sorted(x) for d, x in want.items()}
     for pieces in fill.values():
         at = 0
         for start, size in sorted(pieces):
@@ -138,23 +141,55 @@ def _check_bins(rows, got, capacity):
 
 
 def test_packing_on_awkward_rows(spark):
-    got = packing.pack(clashing(spark), 2000, 8).collect()
-    _check_bins(awkward(), got, 2000)
+    got = packing.pack(clashing(spark), 200, 8).collect()
+    _check_bins(awkward(), got, 200)
     assert sum(r["bin_id"] == "-1" for r in got) == sum(not r[1] for r in awkward())
     assert packing.pack(empty(spark)).count() == 0
 
 
+def _ties():
+    return [(i, "a" + " b" * (137 * i % 190), "en", "s", 0) for i in range(150)] + [(200 + i, "a" + " b" * 99, "en", "s", 0) for i in range(50)]
+
+
 def test_packing_is_no_worse_than_best_fit_decreasing(spark):
-    rows = [(i, "x" * (137 * i % 1900 + 1), "en", "s", 0) for i in range(300)]
-    got = packing.pack(table(spark, rows), 2000, 1000).collect()
-    fill = _check_bins(rows, got, 2000)
-    sizes = [len(r[1]) for r in rows]
-    down = packing.best_fit(sorted(range(300), key=lambda i: (-sizes[i], i)), sizes, [], 2000)
-    assert len(fill) <= len(down)
-    again = packing.pack(table(spark, rows), 2000, 1000).collect()
+    rows = _ties()
+    got = packing.pack(table(spark, rows), 200, 1000).collect()
+    fill = _check_bins(rows, got, 200)
+    sizes = [n for r in rows for _, _, n in packing.cuts(r[1], 200)]
+    assert sizes == tokencount.count_tokens([r[1] for r in rows])
+    down = packing.best_fit(sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)), sizes, [], 200)
+    assert -(-sum(sizes) // 200) <= len(fill) <= len(down)
+    again = packing.pack(table(spark, rows), 200, 1000).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 
+def test_packed_sequences_hold_the_texts(spark):
+    rows = [*_ties()[:40], (300, LONG[:4000], "en", "s", 0), (301, "é 漢字🙂" * 300, "en", "s", 0), (302, "x" * 3000 + "🙂" * 400, "en", "s", 0)]
+    docs = table(spark, rows)
+    placed = packing.pack(docs, 200, 1000)
+    out = packing.sequences(docs, placed).collect()
+    assert sum(len(t) for r in out for t in r["texts"]) == sum(len(r[1]) for r in rows) and all(r["n_tokens"] <= 200 for r in out)
+    _check_bins(rows, placed.collect(), 200)
+
+
+def test_a_small_case_is_packed_as_well_as_can_be():
+    """Against every assignment of pieces to bins."""
+    rng = np.random.default_rng(1)
+    for seed in range(12):
+        sizes = rng.integers(20, 70, 7).tolist()
+        best = min(
+            max(a) + 1 for a in itertools.product(*(range(k + 1) for k in range(7)))
+            if all(sum(s for s, x in zip(sizes, a, strict=True) if x == b) <= 100 for b in range(7))
+        )
+        assert len(packing.evolve(sizes, [], 100, seed)) == best
+
+
+def test_breeding_finds_fewer_bins_than_best_fit_decreasing():
+    sizes = np.random.default_rng(5).integers(180, 420, 400).tolist()
+    down = packing.best_fit(sorted(range(400), key=lambda i: (-sizes[i], i)), sizes, [], 1000)
+    assert len(packing.evolve(sizes, [], 1000, 3)) < len(down)
+
+
 def test_crossover_keeps_every_piece_once():
     rng = np.random.default_rng(4)
     sizes = rng.integers(1, 900, 200).tolist()
