@@ -6,7 +6,7 @@ import math
 from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EARTH_KM = 6371.0088
@@ -93,6 +93,19 @@ def ecef_to_geodetic(x: Column, y: Column, z: Column, el: Ellipsoid = GRS80) ->
     return out["lon"], out["lat"], out["h"]
 
 
+def ecef_to_geodetic_staged(df: DataFrame, el: Ellipsoid = GRS80) -> DataFrame:
+    """__X, __Y, __Z of rows as __lon, __lat and __h by the same formula, in successive projections."""
+    b = el.a * math.sqrt(1 - el.e2)
+    second = (el.a * el.a - b * b) / (b * b)
+    x, y, z, p, beta, s, phi = (F.col(f"__{c}") for c in ("X", "Y", "Z", "p", "beta", "s", "phi"))
+    out = df.withColumn("__p", F.sqrt(x * x + y * y)).withColumn("__beta", F.atan2(z * el.a, p * b))
+    up, outward = z + second * b * F.pow(F.sin(beta), F.lit(3)), p - el.e2 * el.a * F.pow(F.cos(beta), F.lit(3))
+    out = out.withColumn("__s", F.sin(F.atan2(up, outward)))
+    out = out.withColumn("__phi", F.atan2(z + el.e2 * el.a / F.sqrt(1 - el.e2 * s * s) * s, p))
+    h = p * F.cos(phi) + z * F.sin(phi) - el.a * F.sqrt(1 - el.e2 * F.sin(phi) * F.sin(phi))
+    return out.withColumns({"__lon": F.degrees(F.atan2(y, x)), "__lat": F.degrees(phi), "__h": h})
+
+
 def displaced(lon: Column, lat: Column, h: Column, e: Column, n: Column, u: Column, el: Ellipsoid = GRS80) -> tuple[Column, Column, Column]:
     """A position moved by east, north and up metres."""
     m, v = _radii(lat, el)

@@ -92,6 +92,21 @@ def expand_json(raw: Column, keys: tuple[str, ...] = EXPAND_KEYS, prefix: str =
     return [json_text(raw, key).alias(prefix + key) for key in keys]
 
 
+def azimuth(true_az: Column, raw: Column) -> Column:
+    """The column where it is a finite number, else the field of ``raw``; null where neither is."""
+    own = true_az.try_cast("double")
+    return F.coalesce(F.when(~F.isnan(own), own), json_text(raw, "true_az").try_cast("double"))
+
+
+GEOIDS = {f"GEOID{year}": f"geoid{year}" for year in ("09", "06", "03", "99")} | {"GEOID18": "g2018", "GEOID12A": "g2012a", "GEOID12B": "g2012b"}
+
+
+def geoid_fragment(name: Column) -> Column:
+    """What a geoid model's grid files have in their names; null for unknown models."""
+    known = F.create_map(*[F.lit(x) for item in sorted(GEOIDS.items()) for x in item])
+    return F.try_element_at(known, F.replace(F.upper(name), F.lit(" "), F.lit("")))
+
+
 def append_tag(transform_id: Column, tag: Column | str) -> Column:
     """Provenance tags joined by +; a missing id gives the tag alone."""
     return F.concat_ws("+", transform_id, F.lit(tag) if isinstance(tag, str) else tag)
@@ -105,7 +120,7 @@ def utm_label(code: Column) -> Column:
 
 
 def nice_length(span: Column) -> Column:
-    """The largest of 1, 2 or 5 times a power of ten within a fifth of a span."""
-    raw = span / 5
+    """The largest of 1, 2 or 5 times a power of ten within a fifth of a span; null unless the span is positive."""
+    raw = F.when(span > 0, span) / 5
     unit = F.pow(F.lit(10.0), F.floor(F.log10(raw)))
     return unit * F.when(raw >= 5 * unit, 5.0).when(raw >= 2 * unit, 2.0).otherwise(1.0)

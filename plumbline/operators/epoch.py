@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from ..functions.core import is_finite
 from ..functions.geodesy import GRS80, Ellipsoid, displaced, ecef_to_enu, omega, pole_from_rates, rotation_enu
 from ..registry import is_dynamic, is_geographic, is_plate_fixed
-from .sizes import small_or_shuffled
 
 RESIDUAL_RATE = 0.16
 
@@ -157,7 +156,7 @@ def propagation_report(df: DataFrame) -> DataFrame:
     )
 
 
-def with_plates(df: DataFrame, plate_edges: DataFrame, key: str = "id") -> DataFrame:
+def with_plates(df: DataFrame, plate_edges: DataFrame) -> DataFrame:
     from .spatial import assign_polygon
 
-    return assign_polygon(df, small_or_shuffled(plate_edges), key, "plate")
+    return assign_polygon(df, plate_edges, "plate")

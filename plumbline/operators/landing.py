@@ -27,10 +27,13 @@ def transform_points(df: DataFrame, source: str, target: str, epoch: float | str
             raise ValueError(f"{source} to {target} needs an epoch")
         if isinstance(epoch, str) and (n := df.where(~F.coalesce(is_finite(at), F.lit(False))).count()):
             raise ValueError(f"{n} rows have no epoch")
+    tag = append_tag(F.col("transform_id"), f"{source}->{target}")
+    if staged := getattr(op, "staged", None):
+        out = staged(df.withColumn("__epoch", at))
+        out = out.withColumns({"x": F.col("__lon"), "y": F.col("__lat"), "height": F.col("__h"), "frame_crs": F.lit(target), "transform_id": tag})
+        return out.select(*df.columns, *(["frame_crs"] if "frame_crs" not in df.columns else []))
     x, y, h = op(F.col("x"), F.col("y"), F.col("height"), at)
-    return df.withColumns({
-        "x": x, "y": y, "height": h, "frame_crs": F.lit(target), "transform_id": append_tag(F.col("transform_id"), f"{source}->{target}"),
-    })
+    return df.withColumns({"x": x, "y": y, "height": h, "frame_crs": F.lit(target), "transform_id": tag})
 
 
 def land(df: DataFrame, target: str = LANDING, datums: Sequence[str] | None = None) -> DataFrame:
@@ -61,10 +64,40 @@ def land(df: DataFrame, target: str = LANDING, datums: Sequence[str] | None = No
     })
 
 
+def landable(df: DataFrame, target: str = LANDING) -> tuple[DataFrame, dict[str, int]]:
+    """Rows whose datum has a registered operation to the target, and how many rows of each other datum there are."""
+    counts = {r[0]: r[1] for r in df.where("horizontal_crs is not null").groupBy("horizontal_crs").count().collect()}
+    lost = {}
+    for datum, n in counts.items():
+        try:
+            operation(datum, target)
+        except NoTransformPath:
+            lost[datum] = n
+    return (df.where(~F.coalesce(F.col("horizontal_crs").isin(*lost), F.lit(False))) if lost else df), lost
+
+
+def check_declared(control: DataFrame, source: str) -> None:
+    """The frame that rows declare must be the one they are to be transformed from.
+
+    A two-dimensional frame says nothing of heights and need only have the same horizontal part; a three-dimensional or compound one
+    must be the same, else heights that are ellipsoidal already would be shifted again.
+    """
+    for (declared,) in control.select("frame_crs").where("frame_crs is not null").distinct().collect():
+        flat = "+" not in declared and not frame(declared).name.endswith("3D") and frame(declared).geographic
+        if declared != source and not (flat and _flat_name(declared) == _flat_name(source)):
+            raise ValueError(f"rows declare {declared}, not {source}; heights are never reinterpreted")
+
+
+def _flat_name(crs: str) -> str:
+    return frame(crs).name.removesuffix(" 3D").removesuffix(" 2D")
+
+
 def transform_control(control: DataFrame, source: str, target: str, epoch: float = 2010.0) -> tuple[DataFrame, DataFrame]:
     """Control in a product's 3-D frame, with h_ell and xform_acc_m, and the least, median and greatest shift of height."""
     if "+" not in target and frame(target).geographic and not frame(target).name.endswith("3D") and not is_dynamic(target):
         raise ValueError(f"{target} has no height; name a 3-D or projected target")
+    if "frame_crs" in control.columns:
+        check_declared(control, source)
     _, accuracy, timed = operation(source, target)
     before = control.withColumn("h_before", F.col("height"))
     moved = transform_points(before, source, target, epoch if timed else None)
@@ -77,7 +110,7 @@ def geoid_offset(points: DataFrame, cells: DataFrame, grid, key: str = "id", out
     """The offset of a supplied geoid grid at points; a zero, which stands for no data in such grids, is missing."""
     from .raster import linear
 
-    got = linear(points, cells, grid, key, out)
+    got = linear(points, cells, grid, out)
     return got.withColumn(out, F.when(F.col(out) != 0, F.col(out)))
 
 

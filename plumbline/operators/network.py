@@ -37,8 +37,28 @@ def interpolate_velocity(
 ) -> DataFrame:
     """One row for each point: velocities, spreads, station count, nearest station and quality.
 
-    Points with too few stations keep their count and nearest station but no velocity.
+    Points with too few stations keep their count and nearest station but no velocity.  What a point gets depends on its
+    place alone, so it is worked out once for each distinct place and joined back to it; keys may repeat.
     """
+    places = points.select(F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat")).distinct()
+    found = _at_places(places, stations, method, radius_km, min_stations, max_stations, spread_mm, power)
+    return _joined(points.select(key, "lon", "lat"), "lon", "lat", found).drop("lon", "lat").select(key, *FOUND)
+
+
+FOUND = [*COMPONENTS, "spread_h", "spread_u", "n_stations", "nearest_sta", "nearest_km", "quality"]
+
+
+def _joined(points: DataFrame, lon: str, lat: str, found: DataFrame) -> DataFrame:
+    """``points`` with what was found at their places; each row stays once."""
+    out = points.join(found, points[lon].eqNullSafe(found["p_lon"]) & points[lat].eqNullSafe(found["p_lat"]), "left")
+    return out.drop("p_lon", "p_lat")
+
+
+def _at_places(
+    places: DataFrame, stations: DataFrame, method: str = "median", radius_km: float = RADIUS_KM, min_stations: int = MIN_STATIONS,
+    max_stations: int = MAX_STATIONS, spread_mm: float = SPREAD_MM, power: float = 2.0,
+) -> DataFrame:
+    """p_lon, p_lat and FOUND for every distinct (lon, lat)."""
     if method not in METHODS:
         raise ValueError(f"{method!r} is none of {METHODS}")
     if lacking := {"lon", "lat", *COMPONENTS} - set(stations.columns):
@@ -47,32 +67,32 @@ def interpolate_velocity(
     good = stations.select(F.col(label).alias("sta"), "lon", "lat", *COMPONENTS)
     for c in ("lon", "lat", *COMPONENTS):
         good = good.where(is_finite(F.col(c)))
-    pairs = radius_pairs(points, good, radius_km, max_stations, key, "sta")
+    keyed = places.withColumn("pt", F.struct("lon", "lat"))
+    pairs = radius_pairs(keyed, good, radius_km, max_stations, "pt", "sta")
     w = 1 / F.pow(F.greatest(F.col("distance_km"), F.lit(1e-3)), F.lit(power))
     combine = (lambda c: F.median(c)) if method == "median" else (lambda c: F.sum(w * F.col(c)) / F.sum(w))
     spread = {c: F.stddev_samp(c) for c in COMPONENTS}
-    found = pairs.groupBy(key).agg(
+    found = pairs.groupBy("pt").agg(
         F.count("*").alias("n_stations"), *[combine(c).alias(c) for c in COMPONENTS],
         F.coalesce(F.hypot(spread["vel_e"], spread["vel_n"]), F.lit(0.0)).alias("spread_h"),
         F.coalesce(spread["vel_u"], F.lit(0.0)).alias("spread_u"),
         F.min_by("sta", F.struct("distance_km", "sta")).alias("nearest_sta"), F.min("distance_km").alias("nearest_km"),
     )
-    out = points.select(key).join(found, key, "left").withColumn("n_stations", F.coalesce("n_stations", F.lit(0).cast("long")))
+    found = found.select("*", F.col("pt.lon").alias("f_lon"), F.col("pt.lat").alias("f_lat")).drop("pt")
+    out = places.join(found, places["lon"].eqNullSafe(F.col("f_lon")) & places["lat"].eqNullSafe(F.col("f_lat")), "left")
+    out = out.withColumn("n_stations", F.coalesce("n_stations", F.lit(0).cast("long")))
     out = out.withColumn("quality", quality(F.col("n_stations"), F.col("spread_h"), min_stations, spread_mm))
     thin = F.col("quality") == "low_density"
     hidden = {c: F.when(~thin, F.col(c)) for c in (*COMPONENTS, "spread_h", "spread_u")}
-    return out.withColumns(hidden).select(key, *COMPONENTS, "spread_h", "spread_u", "n_stations", "nearest_sta", "nearest_km", "quality")
+    return out.withColumns(hidden).select(F.col("lon").alias("p_lon"), F.col("lat").alias("p_lat"), *FOUND)
 
 
 def fill_velocities(points: DataFrame, stations: DataFrame, key: str = "id", quality_column: str | None = None, **options) -> DataFrame:
-    """``points`` with their velocity columns replaced by interpolated ones; missing stays missing."""
-    places = points.select(F.col(key), F.col("x").alias("lon"), F.col("y").alias("lat"))
-    got = interpolate_velocity(places, stations, key, **options)
-    keep = [key, *COMPONENTS] + (["quality"] if quality_column else [])
-    got = got.select(*keep)
-    if quality_column:
-        got = got.withColumnRenamed("quality", quality_column)
-    return points.drop(*COMPONENTS, *([quality_column] if quality_column else [])).join(got, key, "left")
+    """``points`` with their velocity columns replaced by interpolated ones at their x and y; missing stays missing, and ``key`` may repeat."""
+    places = points.select(F.col("x").cast("double").alias("lon"), F.col("y").cast("double").alias("lat")).distinct()
+    found = _at_places(places, stations, **options)
+    found = found.select("p_lon", "p_lat", *COMPONENTS, *([F.col("quality").alias(quality_column)] if quality_column else []))
+    return _joined(points.drop(*COMPONENTS, *([quality_column] if quality_column else [])), "x", "y", found)
 
 
 def fill_report(filled: DataFrame, quality_column: str) -> DataFrame:

@@ -1,9 +1,8 @@
 """Exact percentiles of groups of any size.
 
-Spark's exact percentile keeps all distinct values of a group in one task.  That is the fastest way for small
-relations and impossible for large ones, so beyond ``LARGE_BYTES`` (of the relations that are read) the same value is found in
-two passes: a quantile sketch brackets the wanted ranks to about 1/1500 of the group, then the values inside
-are counted where they lie, and only their histogram is ordered.  Both ways give the same number.
+Spark's exact percentile keeps all distinct values of a group in one task.  Here the value is found in two passes
+that no group outgrows: a quantile sketch brackets the wanted ranks to about 1/1500 of the group, then the values inside
+are counted where they lie, and only their histogram is ordered.
 """
 
 from __future__ import annotations
@@ -13,9 +12,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sizes import leaf_bytes
-
-LARGE_BYTES = 8 << 30
 ACCURACY, MARGIN = 10_000, 3e-4
 
 
@@ -31,19 +27,8 @@ def matched(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "in
     return left.join(renamed, on, how).drop(*[f"__{c}" for c in by])
 
 
-def fits(df: DataFrame) -> bool:
-    return leaf_bytes(df) <= LARGE_BYTES
-
-
 def percentiles(df: DataFrame, value: Column, by: Sequence[str], wanted: Mapping[str, float]) -> DataFrame:
     """A row for each group with a column for each wanted percentile; groups without values have nulls."""
-    if fits(df):
-        return df.groupBy(*by).agg(*[F.percentile(value, F.lit(q)).alias(name) for name, q in wanted.items()])
-    return bracketed(df, value, by, wanted)
-
-
-def bracketed(df: DataFrame, value: Column, by: Sequence[str], wanted: Mapping[str, float]) -> DataFrame:
-    """The two passes, whatever the size."""
     base = df.select(*by, value.cast("double").alias("__v"))
     limits = [x for q in wanted.values() for x in (max(q - MARGIN, 0.0), min(q + MARGIN, 1.0))]
     rough = base.groupBy(*by).agg(F.count("__v").alias("__n"), F.percentile_approx("__v", limits, ACCURACY).alias("__b"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import finite, is_finite
-from .sizes import small_or_shuffled
+from .sizes import LIMIT_BYTES, plan_bytes, small_or_shuffled
 from .stats import NMAD
 
 
@@ -66,7 +66,7 @@ def check_frames(points_crs: str | None, grid: Grid, check: bool = True) -> None
     warnings.warn(text, stacklevel=2)
 
 
-def nearest(points: DataFrame, cells: DataFrame, grid: Grid, key: str, out: str) -> DataFrame:
+def nearest(points: DataFrame, cells: DataFrame, grid: Grid, out: str) -> DataFrame:
     """The value of the cell that contains each point."""
     c, r = _place(grid)
     at = points.withColumns({"p_c": F.when(_inside(c, r, grid), F.floor(c).cast("int")), "p_r": F.when(_inside(c, r, grid), F.floor(r).cast("int"))})
@@ -74,47 +74,65 @@ def nearest(points: DataFrame, cells: DataFrame, grid: Grid, key: str, out: str)
     return joined.drop("p_c", "p_r", "c_row", "c_col").withColumnRenamed("c_z", out)
 
 
-def linear(points: DataFrame, cells: DataFrame, grid: Grid, key: str, out: str) -> DataFrame:
+def _quads(cells: DataFrame, grid: Grid, needed: DataFrame) -> DataFrame:
+    """(q_row, q_col, z00, z01, z10, z11) of every 2 x 2 block of cells that has data in all four.
+
+    Each cell goes to the four blocks it is in; while the places asked for are few, those of no use go before the shuffle.
+    """
+    base = _cells(cells, grid).where("c_z is not null")
+    blocks = base.select(F.explode(F.array(*[
+        F.struct((F.col("c_row") - i).alias("q_row"), (F.col("c_col") - j).alias("q_col"), F.lit(f"z{i}{j}").alias("corner"), F.col("c_z").alias("z"))
+        for i in (0, 1) for j in (0, 1)
+    ])).alias("q")).select("q.*")
+    if plan_bytes(needed) <= LIMIT_BYTES:
+        blocks = blocks.join(F.broadcast(needed.distinct()), ["q_row", "q_col"], "left_semi")
+    pick = lambda corner: F.max(F.when(F.col("corner") == corner, F.col("z"))).alias(corner)
+    return blocks.groupBy("q_row", "q_col").agg(*map(pick, ("z00", "z01", "z10", "z11"))).where("z00 is not null and z01 is not null and z10 is not null and z11 is not null")
+
+
+def linear(points: DataFrame, cells: DataFrame, grid: Grid, out: str) -> DataFrame:
     """Bilinear on cell centres; missing outside their hull or if one of the four is missing.
 
-    Each point becomes four (cell, weight) rows, which are joined and summed.
+    One equi-join of each point with its block of four, so ids don't matter and may repeat.
     """
     c, r = _place(grid)
     c, r = c - 0.5, r - 0.5
     ok = (c >= 0) & (c <= grid.width - 1) & (r >= 0) & (r <= grid.height - 1)
-    base = points.select(key, c.alias("p_c"), r.alias("p_r")).where(ok)
-    c0 = F.least(F.floor("p_c"), F.lit(max(grid.width - 2, 0)))
-    r0 = F.least(F.floor("p_r"), F.lit(max(grid.height - 2, 0)))
-    corners = F.explode(F.array(*[F.struct((r0 + i).cast("int").alias("row"), (c0 + j).cast("int").alias("col")) for i in (0, 1) for j in (0, 1)]))
-    four = base.withColumn("q", corners)
-    w = (1 - F.abs(F.col("p_c") - F.col("q.col"))) * (1 - F.abs(F.col("p_r") - F.col("q.row")))
-    four = four.select(key, w.alias("w"), F.col("q.row").alias("q_r"), F.col("q.col").alias("q_c"))
-    joined = four.join(small_or_shuffled(_cells(cells, grid)), (F.col("q_r") == F.col("c_row")) & (F.col("q_c") == F.col("c_col")), "left")
-    # partial sums are combined before the shuffle by the point's key
-    value = F.when(F.count("c_z") == 4, F.sum(F.col("w") * F.col("c_z"))).alias(out)
-    return points.join(joined.groupBy(key).agg(value), key, "left")
-
-
-def radius(points: DataFrame, cells: DataFrame, grid: Grid, key: str, out: str, metres: float) -> DataFrame:
-    """Median, NMAD and count of cells whose centres lie within a radius; outside the raster missing and 0."""
+    c0 = F.least(F.floor(c), F.lit(max(grid.width - 2, 0))).cast("int")
+    r0 = F.least(F.floor(r), F.lit(max(grid.height - 2, 0))).cast("int")
+    at = points.withColumns({"p_c": F.when(ok, c0), "p_r": F.when(ok, r0), "p_u": c - c0, "p_v": r - r0})
+    quads = _quads(cells, grid, at.where("p_c is not null").select(F.col("p_r").alias("q_row"), F.col("p_c").alias("q_col")))
+    joined = at.join(small_or_shuffled(quads), (F.col("p_r") == F.col("q_row")) & (F.col("p_c") == F.col("q_col")), "left")
+    u, v = F.col("p_u"), F.col("p_v")
+    value = (1 - u) * (1 - v) * F.col("z00") + u * (1 - v) * F.col("z01") + (1 - u) * v * F.col("z10") + u * v * F.col("z11")
+    return joined.withColumn(out, value).drop("p_c", "p_r", "p_u", "p_v", "q_row", "q_col", "z00", "z01", "z10", "z11")
+
+
+def radius(points: DataFrame, cells: DataFrame, grid: Grid, out: str, metres: float) -> DataFrame:
+    """Median, NMAD and count of cells whose centres lie within a radius; outside the raster missing and 0.
+
+    Worked out once for each distinct place and joined back to it, so ids don't matter and many points at one place cost as much as one.
+    """
     if not (math.isfinite(metres) and metres > 0):
         raise ValueError("the radius must be finite and positive")
     c, r = _place(grid)
     reach_c, reach_r = math.ceil(metres / abs(grid.dx)) + 1, math.ceil(metres / abs(grid.dy)) + 1
-    base = points.select(key, "x", "y", F.floor(c).cast("int").alias("p_c"), F.floor(r).cast("int").alias("p_r")).where(_inside(c, r, grid))
+    places = points.where(_inside(c, r, grid)).select(F.col("x").cast("double").alias("p_x"), F.col("y").cast("double").alias("p_y")).distinct()
+    c, r = (F.col("p_x") - grid.x0) / grid.dx, (F.col("p_y") - grid.y0) / grid.dy
+    base = places.select("p_x", "p_y", F.floor(c).cast("int").alias("p_c"), F.floor(r).cast("int").alias("p_r"))
     base = base.withColumn("q_r", F.explode(F.sequence(F.col("p_r") - reach_r, F.col("p_r") + reach_r)))
     base = base.withColumn("q_c", F.explode(F.sequence(F.col("p_c") - reach_c, F.col("p_c") + reach_c)))
-    ex = grid.x0 + (F.col("q_c") + 0.5) * grid.dx - F.col("x")
-    ey = grid.y0 + (F.col("q_r") + 0.5) * grid.dy - F.col("y")
+    ex = grid.x0 + (F.col("q_c") + 0.5) * grid.dx - F.col("p_x")
+    ey = grid.y0 + (F.col("q_r") + 0.5) * grid.dy - F.col("p_y")
     base = base.where(ex * ex + ey * ey <= metres * metres)
     hits = base.join(small_or_shuffled(_cells(cells, grid)), (F.col("q_r") == F.col("c_row")) & (F.col("q_c") == F.col("c_col"))).where("c_z is not null")
     # a neighbourhood is bounded by the radius, so it is held as one array and its median taken twice in place
-    values = hits.groupBy(key).agg(F.sort_array(F.collect_list("c_z")).alias("v"))
+    values = hits.groupBy("p_x", "p_y").agg(F.sort_array(F.collect_list("c_z")).alias("v"))
     middle = lambda a: (F.get(a, F.floor((F.size(a) - 1) / 2).cast("int")) + F.get(a, F.floor(F.size(a) / 2).cast("int"))) / 2
-    stats = values.select(key, middle(F.col("v")).alias(out), "v")
+    stats = values.select("p_x", "p_y", middle(F.col("v")).alias(out), "v")
     off = F.sort_array(F.transform("v", lambda x: F.abs(x - F.col(out))))
-    stats = stats.select(key, out, (NMAD * middle(off)).alias(f"{out}_nmad"), F.size("v").cast("long").alias(f"{out}_n"))
-    joined = points.join(stats, key, "left")
+    stats = stats.select("p_x", "p_y", out, (NMAD * middle(off)).alias(f"{out}_nmad"), F.size("v").cast("long").alias(f"{out}_n"))
+    joined = points.join(stats, (points["x"] == F.col("p_x")) & (points["y"] == F.col("p_y")), "left").drop("p_x", "p_y")
     return joined.withColumn(f"{out}_n", F.coalesce(f"{out}_n", F.lit(0).cast("long")))
 
 
@@ -122,7 +140,7 @@ def sample(
     points: DataFrame, cells: DataFrame, grid: Grid, key: str = "id", out: str = "h", method: str = "linear",
     metres: float | None = None, diff: str | None = None, points_crs: str | None = None, check_crs: bool = False,
 ) -> DataFrame:
-    """Sample a raster at points; ``diff`` names a column to take from it."""
+    """Sample a raster at points; ``diff`` names a column to take from it.  Each row is sampled by its own x and y; ``key`` may repeat."""
     if metres is not None and method != "linear":
         raise ValueError("a radius excludes a method")
     if method not in ("linear", "nearest"):
@@ -136,9 +154,9 @@ def sample(
     if check_crs:
         check_frames(points_crs, grid)
     if metres is not None:
-        got = radius(points, cells, grid, key, out, metres)
+        got = radius(points, cells, grid, out, metres)
     else:
-        got = (linear if method == "linear" else nearest)(points, cells, grid, key, out)
+        got = (linear if method == "linear" else nearest)(points, cells, grid, out)
     return got.withColumn(f"d{out}", F.col(out) - F.col(diff)) if diff else got
 
 
@@ -200,6 +218,10 @@ def gradients(cells: DataFrame, grid: Grid) -> DataFrame:
     return sides.select("row", "col", F.col("zo").alias("z"), slope("e", "w", abs(grid.dx)).alias("g_e"), slope("s", "n", abs(grid.dy)).alias("g_s"))
 
 
+#: The lamps of a multidirectional hillshade.
+LAMPS = (225.0, 270.0, 315.0, 360.0)
+
+
 def hillshade(cells: DataFrame, grid: Grid, azimuths: Sequence[float] = (315.0,), altitude: float = 45.0) -> DataFrame:
     """(row, col, shade) in [0, 1]; several azimuths are averaged; missing where a neighbour is."""
     g = gradients(cells, grid)

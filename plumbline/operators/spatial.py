@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.core import is_finite
 from ..functions.geodesy import EARTH_KM, haversine_km, wrap_lon
 from .sizes import small_or_shuffled
 
@@ -88,31 +89,58 @@ def edges(polygons: DataFrame) -> DataFrame:
     return out.join(box, "poly_id")
 
 
-def point_in_polygon(points: DataFrame, edge_rows: DataFrame, key: str, boundary: bool) -> DataFrame:
-    """(key, poly_id) of points in polygons by even-odd ray casting; ``boundary`` says whether the border belongs."""
-    x, y = F.col("x"), F.col("y")
+#: Cells along the longer side of a polygon's box.
+CELLS = 8
+
+
+def _covered(edge_rows: DataFrame) -> DataFrame:
+    """Edges by the cells from which a ray to +x can meet them: (level, cell_x, cell_y) and the edge.
+
+    Each polygon is covered by cells of a power of two, about ``CELLS`` along its longer side, so small and large ones cost alike.
+    """
+    extent = F.greatest(F.col("bx1") - F.col("bx0"), F.col("by1") - F.col("by0"), F.lit(1e-9))
+    out = edge_rows.withColumn("level", F.ceil(F.log2(extent / CELLS)).cast("int"))
+    step = F.pow(F.lit(2.0), F.col("level"))
+    number = lambda c: F.floor(c / step).cast("long")
+    out = out.withColumn("cell_y", F.explode(F.sequence(number(F.least("y1", "y2")), number(F.greatest("y1", "y2")))))
+    return out.withColumn("cell_x", F.explode(F.sequence(number(F.col("bx0")), number(F.greatest("x1", "x2")))))
+
+
+def point_in_polygon(points: DataFrame, edge_rows: DataFrame, boundary: bool) -> DataFrame:
+    """(p_x, p_y, poly_id) of the distinct finite places of points in polygons by even-odd ray casting; ``boundary`` says whether the border belongs.
+
+    An equi-join on cells: a place meets the edges of its own cell at each level there is, and the polygon's box is tested then.
+    """
+    x, y = F.col("p_x"), F.col("p_y")
     x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
     crosses = ((y1 > y) != (y2 > y)) & (x < (x2 - x1) * (y - y1) / F.when(y2 != y1, y2 - y1) + x1)
     on_line = (x2 - x1) * (y - y1) == (x - x1) * (y2 - y1)
     on_edge = on_line & x.between(F.least(x1, x2), F.greatest(x1, x2)) & y.between(F.least(y1, y2), F.greatest(y1, y2))
-    near = points.select(key, "x", "y").join(
-        small_or_shuffled(edge_rows), x.between(F.col("bx0"), F.col("bx1")) & y.between(F.col("by0"), F.col("by1"))
-    )
-    hit = near.groupBy(key, "poly_id").agg((F.count_if(crosses) % 2 == 1).alias("inside"), F.bool_or(on_edge).alias("border"))
+    covered = _covered(edge_rows)
+    places = points.where(is_finite(F.col("x")) & is_finite(F.col("y"))).select(F.col("x").cast("double").alias("p_x"), F.col("y").cast("double").alias("p_y")).distinct()
+    # as many levels as the polygons' sizes have powers of two
+    levels = sorted(r[0] for r in covered.select("level").distinct().collect())
+    if not levels:
+        return places.where("false").join(edge_rows.select("poly_id").where("false"))
+    at = [F.struct(F.lit(k).alias("level"), F.floor(x / 2.0**k).cast("long").alias("cell_x"), F.floor(y / 2.0**k).cast("long").alias("cell_y")) for k in levels]
+    near = places.select("p_x", "p_y", F.explode(F.array(*at)).alias("at")).select("p_x", "p_y", "at.*")
+    near = near.join(small_or_shuffled(covered), ["level", "cell_x", "cell_y"]).where(x.between(F.col("bx0"), F.col("bx1")) & y.between(F.col("by0"), F.col("by1")))
+    hit = near.groupBy("p_x", "p_y", "poly_id").agg((F.count_if(crosses) % 2 == 1).alias("inside"), F.bool_or(on_edge).alias("border"))
     keep = (F.col("inside") | F.col("border")) if boundary else (F.col("inside") & ~F.col("border"))
-    return hit.where(keep).select(key, "poly_id")
+    return hit.where(keep).select("p_x", "p_y", "poly_id")
 
 
-def clip(points: DataFrame, edge_rows: DataFrame, key: str = "id") -> DataFrame:
-    """Rows strictly inside some polygon."""
-    return points.join(point_in_polygon(points, edge_rows, key, boundary=False).select(key).distinct(), key, "left_semi")
+def clip(points: DataFrame, edge_rows: DataFrame) -> DataFrame:
+    """Rows strictly inside some polygon; rows at one place stay or go together, whatever their ids."""
+    inside = point_in_polygon(points, edge_rows, boundary=False).select("p_x", "p_y").distinct()
+    return points.join(inside, (points["x"] == F.col("p_x")) & (points["y"] == F.col("p_y")), "left_semi")
 
 
-def assign_polygon(points: DataFrame, edge_rows: DataFrame, key: str = "id", out: str = "plate") -> DataFrame:
+def assign_polygon(points: DataFrame, edge_rows: DataFrame, out: str = "plate") -> DataFrame:
     """``points`` with the alphabetically first polygon that holds them, borders included; null for none."""
-    wrapped = points.withColumn("x", wrap_lon(F.col("x")))
-    hit = point_in_polygon(wrapped, edge_rows, key, boundary=True).groupBy(key).agg(F.min("poly_id").alias(out))
-    return points.join(hit, key, "left")
+    wrapped = points.withColumn("__x", wrap_lon(F.col("x")))
+    hit = point_in_polygon(wrapped.select(F.col("__x").alias("x"), "y"), edge_rows, boundary=True).groupBy("p_x", "p_y").agg(F.min("poly_id").alias(out))
+    return wrapped.join(hit, (F.col("__x") == F.col("p_x")) & (wrapped["y"] == F.col("p_y")), "left").drop("__x", "p_x", "p_y")
 
 
 def classify_stations(stations: DataFrame, box: Sequence[float], buffer_km: float) -> DataFrame:

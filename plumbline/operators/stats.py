@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import finite, is_finite
-from .quantiles import fits, matched, percentiles
+from ..store import saved
+from .quantiles import matched, percentiles
 
 NMAD = 1.4826
 GATE = 3.0
@@ -55,21 +56,21 @@ def error_report(df: DataFrame, value: str, by: Sequence[str] = (), k: float = G
     used = F.when(gate(v, F.col("median"), F.col("nmad"), k), v)
     n, n_used = F.count(finite(v)), F.count(used)
     wanted = {"le90": 0.9, "le95": 0.95}
-    small = fits(df)
-    tails = [F.percentile(F.abs(used), F.lit(q)).alias(name) for name, q in wanted.items()] if small else []
     moments = joined.groupBy(*by).agg(
         n.alias("n"), F.first("median").alias("median"), F.first("nmad").alias("nmad"), n_used.alias("n_used"),
         (n - n_used).alias("n_outliers"), F.avg(used).alias("mean"), F.stddev_samp(used).alias("std"),
-        F.sqrt(F.avg(used * used)).alias("rmse"), *tails,
+        F.sqrt(F.avg(used * used)).alias("rmse"),
     )
-    return moments if small else matched(moments, percentiles(joined, F.abs(used), by, wanted), by)
+    return matched(moments, percentiles(joined, F.abs(used), by, wanted), by)
 
 
-def robust_normalize(df: DataFrame, value: str, by: Sequence[str] = (), k: float = GATE, out: str = "inlier") -> DataFrame:
-    """``df`` with a boolean: strictly inside k NMAD of the median; so all false where there is no spread."""
+def robust_normalize(df: DataFrame, value: str, by: Sequence[str] = (), k: float = GATE, out: str = "inlier", flat: bool = False) -> DataFrame:
+    """``df`` with a boolean: strictly inside k NMAD of the median; so all false where there is no spread, or all true with ``flat``."""
     joined = with_med_nmad(df, value, by)
     v = finite(F.col(value))
     inside = (v > F.col("median") - k * F.col("nmad")) & (v < F.col("median") + k * F.col("nmad"))
+    if flat:
+        inside = inside | (v.isNotNull() & (F.col("nmad") == 0))
     return joined.withColumn(out, F.coalesce(inside, F.lit(False))).drop("median", "nmad")
 
 
@@ -128,7 +129,8 @@ def summarize(
     masks = [F.when(F.coalesce(mask(), F.lit(False)), F.lit(label)) for label, (mask, _, _) in segments.items()]
     long = F.explode(F.array(*[F.struct(F.lit(p).alias("product"), F.col(f"dh_{p}_before").cast("double").alias("dh")) for p in products]))
     label = F.explode(F.array_compact(F.array(*masks, F.lit(ALL))))
-    rows = sampled.select(label.alias("segment"), "*").select("segment", long.alias("r")).select("segment", "r.product", "r.dh")
+    # the statistics pass over these rows several times
+    rows = saved(sampled.select(label.alias("segment"), "*").select("segment", long.alias("r")).select("segment", "r.product", "r.dh"), "residuals")
     report = error_report(rows, "dh", ("product", "segment"))
     masked = rows.groupBy("product", "segment").agg(F.count("*").alias("rows"))
     flags = {label: (dsm, dtm) for label, (_, dsm, dtm) in segments.items()} | {ALL: (True, True)}
@@ -136,7 +138,8 @@ def summarize(
     base = spark.createDataFrame(grid, "product string, segment string, applies boolean")
     out = F.broadcast(base).join(report, ["product", "segment"], "left").join(masked, ["product", "segment"], "left")
     if "xform_acc_m" in sampled.columns:
-        out = out.crossJoin(F.broadcast(sampled.agg(F.median(finite(F.col("xform_acc_m"))).alias("xform_acc_m"))))
+        # one row
+        out = out.crossJoin(F.broadcast(percentiles(sampled, finite(F.col("xform_acc_m")), (), {"xform_acc_m": 0.5})))
     else:
         out = out.withColumn("xform_acc_m", F.lit(None).cast("double"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
@@ -175,7 +178,8 @@ def top_or_other(df: DataFrame, column: str, n: int = 5) -> DataFrame:
 def before_after(df: DataFrame, before: str, after: str) -> DataFrame:
     """Least, median and greatest finite shift between two columns."""
     d = finite(F.col(after) - F.col(before))
-    return df.agg(F.min(d).alias("min"), F.median(d).alias("median"), F.max(d).alias("max"))
+    ends = df.agg(F.min(d).alias("min"), F.max(d).alias("max"))
+    return ends.crossJoin(F.broadcast(percentiles(df, d, (), {"median": 0.5}))).select("min", "median", "max")
 
 
 def centroids(df: DataFrame, id_column: str, x: str, y: str) -> DataFrame:

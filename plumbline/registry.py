@@ -6,10 +6,10 @@ import math
 from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .functions.geodesy import GRS80, WGS84, Ellipsoid, ecef_to_geodetic, geodetic_to_ecef, let, transverse_mercator
+from .functions.geodesy import GRS80, WGS84, Ellipsoid, ecef_to_geodetic, ecef_to_geodetic_staged, geodetic_to_ecef, let, transverse_mercator
 
 
 class Frame(NamedTuple):
@@ -142,6 +142,20 @@ def helmert(parameters: tuple[float, ...], rates: tuple[float, ...], reference_e
         lo, la, up = ecef_to_geodetic(*out, target)
         return lo, la, F.when(h.isNotNull(), up)
 
+    def staged(df: DataFrame) -> DataFrame:
+        """The same over x, y, height and __epoch of rows, in successive projections: each value is computed once, in generated code."""
+        dt = F.col("__epoch") - reference_epoch
+        made = dict(zip("xyz", geodetic_to_ecef(F.col("x"), F.col("y"), F.coalesce(F.col("height"), F.lit(0.0)), source), strict=True))
+        t = {f"__t{i}": F.lit(p) + F.lit(r) * dt for i, (p, r) in enumerate(zip(parameters, rates, strict=True))}
+        out = df.withColumns({f"__{k}": c for k, c in made.items()} | t)
+        x, y, z = (F.col(f"__{k}") for k in "xyz")
+        p = [F.col(f"__t{i}") for i in range(7)]
+        s, rx, ry, rz = 1 + p[6] * 1e-9, p[3] * mas, p[4] * mas, p[5] * mas
+        moved = p[0] + s * x - rz * y + ry * z, p[1] + rz * x + s * y - rx * z, p[2] - ry * x + rx * y + s * z
+        out = ecef_to_geodetic_staged(out.withColumns(dict(zip(("__X", "__Y", "__Z"), moved, strict=True))), target)
+        return out.withColumn("__h", F.when(F.col("height").isNotNull(), F.col("__h")))
+
+    run.staged = staged
     return run
 
 
@@ -151,9 +165,35 @@ ITRF2014_TO_NAD83 = helmert(
     (0.00079, -0.00060, -0.00144, 0.06667, -0.75744, -0.05133, -0.07201),
     2010.0,
 )
-for _dynamic in ("EPSG:7912", "EPSG:9000"):
-    for _static in ("EPSG:6318", "EPSG:6319"):
+#: From other solutions by way of ITRF2014, with the published parameters between solutions brought to 2010.0; angles this small add up.
+_NAD83 = (1.00530, -1.90921, -0.54157, 26.78138, -0.42027, 10.93206, 0.36891), (0.00079, -0.00060, -0.00144, 0.06667, -0.75744, -0.05133, -0.07201)
+_TO_2014 = {
+    "EPSG:9989": ((-0.0014, -0.0004, 0.0004, 0, 0, 0, -0.42), (0, -0.0001, 0.0002, 0, 0, 0, 0)),
+    "EPSG:7911": ((-0.0016, -0.0019, -0.0024, 0, 0, 0, 0.02), (0, 0, 0.0001, 0, 0, 0, -0.03)),
+}
+
+
+def by_2014(code: str) -> Operation:
+    return helmert(*(tuple(a + b for a, b in zip(x, y, strict=True)) for x, y in zip(_NAD83, _TO_2014[code], strict=True)), 2010.0)
+
+
+for _static in ("EPSG:6318", "EPSG:6319"):
+    for _dynamic in ("EPSG:7912", "EPSG:9000"):
         register(_dynamic, _static, ITRF2014_TO_NAD83, 0.015, True)
+    for _dynamic, _code in (("EPSG:9989", "EPSG:9989"), ("EPSG:9990", "EPSG:9989"), ("EPSG:7911", "EPSG:7911")):
+        register(_dynamic, _static, by_2014(_code), 0.02, True)
+
+
+def datum_label(crs: str) -> str:
+    """A note for heights: the vertical member of a compound frame, else the datum with ``ellipsoid``."""
+    _, _, vertical = crs.partition("+")
+    if vertical:
+        return {"5703": "NAVD88 height", "7968": "NGVD29 height"}.get(vertical.removeprefix("EPSG:"), f"EPSG:{vertical.removeprefix('EPSG:')} height")
+    try:
+        found = _utm(crs)
+        return f"{frame(found[0].base if found else crs).name.removesuffix(' 3D').removesuffix(' 2D')} ellipsoid"
+    except LookupError:
+        return "ellipsoid"
 
 
 def operation(source: str, target: str) -> tuple[Operation, float | None, bool]:

@@ -48,7 +48,8 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Records of files that hold a JSON array each."""
     raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     items = F.posexplode(F.from_json("value", "array<string>"))
-    return raw.select("file", items).select(F.row_number().over(Window.orderBy("file", "pos")).alias("arrival"), F.col("col").alias("value"))
+    # a file and a place in it order records as a number would, without gathering them to number them
+    return raw.select(F.struct("file", items).alias("r")).select(F.struct("r.file", "r.pos").alias("arrival"), F.col("r.col").alias("value"))
 
 
 def dedupe_first(records: DataFrame, key: Column, order: str = "arrival") -> DataFrame:

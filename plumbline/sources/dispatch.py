@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.landing import LANDING, land
+from ..operators.landing import LANDING, land, landable
 from ..operators.spatial import clip, edges
 from ..schema import empty, normalize, validate
 
@@ -82,8 +82,10 @@ def fetch_control(
             provider = PROVIDERS[name]
             got = provider.parse(provider.fetch(spark, box))
             rows, skipped = got if isinstance(got, tuple) else (got, None)
+            rows, lost = landable(rows, LANDING)
             rows = normalize(land(rows, LANDING), source=name)
             reasons = {r["reason"]: r["n"] for r in skipped.collect()} if skipped is not None else {}
+            reasons |= {f"no operation from {datum}": n for datum, n in lost.items()}
             # a bare count would prune the columns, and with them their errors
             n = rows.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*rows.columns)).alias("all")).first()["n"]
             if n:
@@ -97,6 +99,5 @@ def fetch_control(
     for part in parts[1:]:
         out = out.unionByName(part)
     if polygon is not None:
-        keyed = out.withColumn("__key", F.concat_ws("|", "source", "id", F.col("x").cast("string"), F.col("y").cast("string")))
-        out = clip(keyed, polygon, "__key").drop("__key")
+        out = clip(out, polygon)
     return validate(out), status

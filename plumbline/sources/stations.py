@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geodesy import wrap_lon
 from ..functions.time import decyear, decyear_inv, short_date
+from ..operators.sizes import small_or_shuffled
 from ..registry import ALIASES
 from ..schema import empty, normalize
 from .common import bounded, fields, lines_of, must
@@ -43,7 +44,7 @@ def parse_series(lines: DataFrame) -> DataFrame:
     lacking = head.where(F.size(F.array_except(needed, "head")) > 0).first()
     if lacking is not None:
         raise ValueError(f"{lacking['file']} lacks columns {sorted(set(_NEEDED) - set(lacking['head']))}")
-    both = rows.join(F.broadcast(head.drop("value")), "file").where(F.col("line_no") > F.col("head_line"))
+    both = rows.join(small_or_shuffled(head.drop("value")), "file").where(F.col("line_no") > F.col("head_line"))
     both = both.withColumn("m", F.map_from_arrays("head", F.slice("p", F.lit(1), F.size("head"))))
     number = lambda c: F.col("m")[c].cast("double").alias(c)
     return both.select(
@@ -142,7 +143,7 @@ def positions(window: DataFrame, mode: str = "last_n") -> DataFrame:
         F.min("date").alias("first_used"), F.max("date").alias("last_used"),
     )
     off = window.join(med.select("sta", F.col("coord_epoch").alias("mid")), "sta")
-    when = off.groupBy("sta").agg(F.min_by("date", F.struct(F.abs(F.col("decyear") - F.col("mid")), F.col("date"))).alias("measurement_datetime"))
+    when = off.groupBy("sta").agg(F.min_by("date", F.struct(F.round(F.abs(F.col("decyear") - F.col("mid")), 12), F.col("date"))).alias("measurement_datetime"))
     return med.join(when, "sta").withColumn("window", F.to_json(F.struct(F.lit(mode).alias("mode"), "first_used", "last_used")))
 
 
