@@ -685,8 +685,8 @@ def assess_end_to_end(spark, d):
 
 def repeated(rows: DataFrame) -> DataFrame:
     """Each id for many rows, and every row told apart by the one it had; every 7th twice."""
-    again = F.explode(F.when(F.col("id") % 7 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
-    return rows.withColumn("was", F.col("id")).withColumn("id", F.col("id") % 10).withColumn("copy", again).drop("copy")
+    again = F.explode(F.when(F.col("was") % 7 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    return rows.withColumnRenamed("id", "was").withColumns({"id": F.col("was") % 10, "copy": again}).drop("copy")
 
 
 _TWICE = "JOIN (VALUES (1), (2)) AS tw(k) ON k = 1 OR id % 7 = 0"

