@@ -89,8 +89,10 @@ def _plain(text):
     for kind, _, pattern, score, near in pii._RULES:
         for m in pattern.finditer(text):
             s = score(m)
-            around = text[max(0, m.start() - pii.CONTEXT) : m.start()], text[m.end() : m.end() + pii.CONTEXT]
-            if s >= 0 and near is not None and any(map(near.search, around)):
+            # words of the text itself: one that only begins where the context is cut off is none
+            words = [n.span() for n in near.finditer(text)] if near is not None else []
+            before, after = m.start() - pii.CONTEXT, m.end() + pii.CONTEXT
+            if s >= 0 and any((before <= a and b <= m.start()) or (m.end() <= a and b <= after) for a, b in words):
                 s += 0.25
             if s >= pii.THRESHOLD:
                 found.add((min(s, 1.0), m.start(), m.end(), kind))
