@@ -29,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokencount import count_piece, count_tokens, piece_counts
+from .pretokens import counted
+from .tokencount import BATCH_CHARS, count_piece
 from .vocab import VOCABULARY
 from .work import map_arrow, saved
 
@@ -149,22 +150,53 @@ def _fitting(part: str, capacity: int, path: str) -> int:
     return low
 
 
-def cuts(text: str, capacity: int, path: str = VOCABULARY) -> list[tuple[int, int, int]]:
-    """(first character, end, tokens) of the pieces of a text, each of at most ``capacity`` tokens."""
+def _cut(text: str, begin: np.ndarray, count: np.ndarray, capacity: int, path: str) -> list[tuple[int, int, int]]:
+    """(first character, end, tokens) of the pieces of a text, from the places and tokens of its pre-tokens."""
     out: list[tuple[int, int, int]] = []
-    at = 0
-    for part, count in piece_counts(text, path):
-        if count > capacity:  # its parts begin pieces
+    end, total = np.append(begin[1:], len(text)).tolist(), np.append(0, np.cumsum(count))
+    reach = lambda k, room: int(np.searchsorted(total, total[k] + room, "right")) - 1
+    k = 0
+    while k < len(count):
+        if count[k] > capacity:  # its parts begin pieces
+            at, part = int(begin[k]), text[int(begin[k]) : end[k]]
             while part:
                 n = _fitting(part, capacity, path)
                 out.append((at, at + n, count_piece(part[:n], path)))
                 at, part = at + n, part[n:]
-            continue
-        if out and out[-1][2] + count <= capacity:
-            out[-1] = (out[-1][0], at + len(part), out[-1][2] + count)
+            j = reach(k + 1, capacity - out[-1][2])
+            if j > k + 1:
+                out[-1] = (out[-1][0], end[j - 1], out[-1][2] + int(total[j] - total[k + 1]))
         else:
-            out.append((at, at + len(part), count))
-        at += len(part)
+            j = reach(k, capacity)
+            out.append((int(begin[k]), end[j - 1], int(total[j] - total[k])))
+        k = max(j, k + 1)
+    return out
+
+
+def _batches(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about BATCH_CHARS characters."""
+    lo, chars = 0, 0
+    for hi, text in enumerate(texts, 1):
+        chars += len(text or "")
+        if chars >= BATCH_CHARS or hi == len(texts):
+            yield lo, hi
+            lo, chars = hi, 0
+
+
+def cuts(texts: list[str | None], capacity: int, path: str = VOCABULARY) -> list[list[tuple[int, int, int]]]:
+    """(first character, end, tokens) of the pieces, each of at most ``capacity`` tokens, of every text."""
+    out = []
+    for lo, hi in _batches(texts):
+        begin, count, bounds = counted(texts[lo:hi], path)
+        total, own = np.append(0, np.cumsum(count)), np.searchsorted(begin, bounds)
+        size = np.diff(total[own]).tolist()
+        for i, n in enumerate(size):
+            text = texts[lo + i] or ""
+            if n <= capacity:
+                out.append([(0, len(text), n)])
+            else:
+                a, b = own[i], own[i + 1]
+                out.append(_cut(text, begin[a:b] - bounds[i], count[a:b], capacity, path))
     return out
 
 
@@ -173,9 +205,7 @@ def pieces(docs: DataFrame, capacity: int, path: str = VOCABULARY) -> DataFrame:
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         row, number, spans = [], [], []
-        texts = batch.column(1).to_pylist()
-        for i, (text, n) in enumerate(zip(texts, count_tokens(texts, path), strict=True)):
-            own = cuts(text, capacity, path) if n > capacity else [(0, len(text or ""), n)]
+        for i, own in enumerate(cuts(batch.column(1).to_pylist(), capacity, path)):
             row += [i] * len(own)
             number += range(len(own))
             spans += own

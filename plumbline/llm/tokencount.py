@@ -143,13 +143,6 @@ def count_tokens(texts: list[str | None], path: str = VOCABULARY) -> list[int]:
     return out
 
 
-def piece_counts(text: str, path: str = VOCABULARY) -> list[tuple[str, int]]:
-    """The pre-tokens of a text, which join to it, and the tokens of each."""
-    count_tokens([text], path)
-    known = _COUNTS[path]
-    return [(p, known[p]) for p in SPLIT.findall(text)]
-
-
 def count_piece(piece: str, path: str = VOCABULARY) -> int:
     """Tokens of a part of a pre-token."""
     return int(merge_counts([piece.encode("utf-8", "surrogatepass")], vocabulary(path))[0])

@@ -128,8 +128,8 @@ def _check_bins(rows, got, capacity):
             fill[r["bin_id"]].append((r["start"], r["size"]))
     want = collections.defaultdict(list)
     for doc_id, text, *_ in rows:
-        want[doc_id] += [(k, a, b, tokencount.count_tokens([text[a:b] if text else ""])[0]) for k, (a, b, _) in enumerate(packing.cuts(text or "", capacity) or [(0, 0, 0)])]
-        assert "".join(text[a:b] for a, b, _ in packing.cuts(text, capacity)) == text if text else True
+        want[doc_id] += [(k, a, b, tokencount.count_tokens([text[a:b] if text else ""])[0]) for k, (a, b, _) in enumerate(packing.cuts([text], capacity)[0])]
+        assert "".join(text[a:b] for a, b, _ in packing.cuts([text], capacity)[0]) == text if text else True
     assert {d: sorted(x) for d, x in spans.items()} == {d: sorted(x) for d, x in want.items()}
     for pieces in fill.values():
         at = 0
@@ -155,7 +155,7 @@ def test_packing_is_no_worse_than_best_fit_decreasing(spark):
     rows = _ties()
     got = packing.pack(table(spark, rows), 200, 1000).collect()
     fill = _check_bins(rows, got, 200)
-    sizes = [n for r in rows for _, _, n in packing.cuts(r[1], 200)]
+    sizes = [n for r in rows for _, _, n in packing.cuts([r[1]], 200)[0]]
     assert sizes == tokencount.count_tokens([r[1] for r in rows])
     down = packing.best_fit(sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)), sizes, [], 200)
     assert -(-sum(sizes) // 200) <= len(fill) <= len(down)

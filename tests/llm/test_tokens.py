@@ -6,7 +6,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from plumbline.llm import bpe, tokencount
+from plumbline.llm import bpe, pretokens, tokencount
 from plumbline.llm.vocab import SPLIT, VOCABULARY, vocabulary
 
 from .common import awkward, clashing, empty, table
@@ -72,3 +72,23 @@ def test_queries_on_awkward_rows(spark):
     back = bpe.decoded(bpe.encoded(table(spark))).collect()
     assert sorted(str(r["text"]) for r in back) == sorted(str(r[1] or "") for r in awkward())
     assert tokencount.token_counts(empty(spark)).count() == 0 and bpe.encoded(empty(spark)).count() == 0
+
+
+_BITS = ["a", "don", "'", "'s", "'re", "'ve", "'street", " ", "  ", "\n", " \n", "\t", "1", "23", "!", "''", "é", "漢", "🙂", "²", "x'd", "\x1c", "\u0301", "b" * 300]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(_BITS), max_size=9), max_size=4))
+def test_pre_tokens_of_many_texts_are_those_of_the_pattern(parts):
+    texts = [None, *map("".join, parts)]
+    at, count, bounds = pretokens.counted(texts)
+    joined, end = "".join(texts[1:]), [*at.tolist(), bounds[-1]]
+    assert [joined[a:b] for a, b in zip(end, end[1:], strict=False)] == [p for t in texts[1:] for p in SPLIT.findall(t)]
+    total, own = np.append(0, np.cumsum(count)), np.searchsorted(at, bounds)
+    assert np.diff(total[own]).tolist() == tokencount.count_tokens(texts)
+
+
+def test_known_counts_may_be_begun_anew(monkeypatch):
+    monkeypatch.setattr(pretokens, "REMEMBERED", 3)
+    for text in ("one two three four five", "six seven eight", "one two nine"):
+        assert pretokens.counted([text])[1].sum() == tokencount.count_tokens([text])[0]
