@@ -149,6 +149,15 @@ def window_hashes(hashes: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarr
         return at, mix((prefix[at + k] - prefix[at]) * down[at], 3)
 
 
+def range_hashes(hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each range of words, of any length, by its content alone."""
+    up, down = _WORDS.upto(len(hashes) + 1)
+    with np.errstate(over="ignore"):
+        prefix = np.zeros(len(hashes) + 1, U64)
+        np.cumsum(hashes * up[: len(hashes)], out=prefix[1:])
+        return mix((prefix[end] - prefix[begin]) * down[begin] + (end - begin).astype(U64), 5)
+
+
 def row_starts(row: np.ndarray, rows: int) -> np.ndarray:
     """For sorted ``row``: where each of ``rows`` rows begins, with the total at the end."""
     return np.searchsorted(row, np.arange(rows + 1))

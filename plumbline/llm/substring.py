@@ -11,11 +11,14 @@ occurrence of every key of its batch.  A new batch is merge-joined with each old
 bucket by bucket, and its own run is added.  When more than ``FANOUT`` runs stand, they are
 compacted into one.
 
+A key leads to one earlier occurrence.  That is enough where all its occurrences have the same ``WINDOW - ANCHOR`` words
+on either side, which a second hash tells.  Where they differ, an occurrence and the one its key leads to also enter
+the hashes of all windows of ``WINDOW`` words around the fingerprint into a second list of runs, with exact windows for keys; so
+occurrences that share a passage meet there, whichever document holds the key first, and none is left out.
+
 Each match is verified on the words themselves: both documents send the stretch around the
 matched fingerprints, the words are compared, and the common stretch is kept if it has ``WINDOW``
-words or more.  A key leads to one earlier occurrence; where that shares the key's words but
-not the passage, the passage is found by its other keys.  The tests hold the windows found above
-0.98 of brute force.
+words or more.
 
 Defined results: null and empty texts have no passages; a document is a doc_id with a text, so
 a repeated row is no second document, while equal texts of different doc_ids are; occurrences are
@@ -35,7 +38,9 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .work import map_arrow, saved, shared_dir, sized
 
-WINDOW, ANCHOR, CONTEXT, BATCHES, FANOUT = 50, 10, 20, 3, 3
+WINDOW, ANCHOR, CONTEXT, BATCHES, FANOUT = 50, 10, 20, 4, 2
+#: Cuts of one document that go to one task.
+PER_CUT = 512
 
 
 def _sliding(values: np.ndarray, width: int, better: np.ufunc) -> np.ndarray:
@@ -68,7 +73,7 @@ def winnow(hashes: np.ndarray, row: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(column: pa.Array) -> list[tuple[np.ndarray, ...]]:
-    """Row, place and key of every thinned fingerprint with each of its sides, by slice."""
+    """Row, place and key of every thinned fingerprint with each of its sides, and a hash of all that a passage may share with it, by slice."""
     out = []
     for lo, hi, buf, offsets in K.slices(column):
         _, _, row, hashes = K.words(buf, offsets)
@@ -89,8 +94,9 @@ def anchors(column: pa.Array) -> list[tuple[np.ndarray, ...]]:
         mark = window[picked]
         keys = np.concatenate([K.mix(mark + K.mix(left, 41), 42), K.mix(mark + K.mix(right, 43), 44)])
         there = np.concatenate([left, right]) > 0
-        twice = np.concatenate([r + lo, r + lo]), np.concatenate([place - begin[r]] * 2)
-        out.append((twice[0][there], twice[1][there], keys[there]))
+        low, high = np.maximum(place - WINDOW + ANCHOR, begin[r]), np.minimum(place + WINDOW, begin[r + 1])
+        around = K.mix(K.range_hashes(hashes, low, high) + (place - low).astype(np.uint64), 45)
+        out.append(tuple(np.concatenate([x, x])[there] for x in (r + lo, place - begin[r])) + (keys[there], np.concatenate([around] * 2)[there]))
     return out
 
 
@@ -102,19 +108,46 @@ def _identified(docs: DataFrame) -> DataFrame:
 def _keys(docs: DataFrame) -> DataFrame:
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = anchors(batch.column(0))
-        parts = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 3
-        cols = [batch.column(1).take(pa.array(parts[0].astype(np.int64))), pa.array(parts[1].astype(np.int32)), pa.array(parts[2].astype(np.uint64).view(np.int64))]
+        parts = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 4
+        cols = [batch.column(1).take(pa.array(parts[0].astype(np.int64))), pa.array(parts[1].astype(np.int32)), *(pa.array(x.astype(np.uint64).view(np.int64)) for x in parts[2:])]
+        return pa.RecordBatch.from_arrays(cols, names=["rid", "place", "key", "around"])
+
+    return map_arrow(docs.select("text", "rid"), fn, "rid bigint, place int, key bigint, around bigint")
+
+
+def _windows(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """rid, place and key (their hash) of all windows of ``WINDOW`` words that hold the fingerprints at (rid, place), each once."""
+    # a document has fewer places than words
+    grouped = saved(places.groupBy(F.col("rid").alias("at_rid")).agg(F.collect_set("place").alias("places")), "places")
+    there = docs.join(sized(grouped.select("at_rid"), 64), F.col("rid") == F.col("at_rid"), "left_semi").dropDuplicates(["rid"])
+    there = there.join(grouped, F.col("rid") == F.col("at_rid"))
+
+    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
+        row, place, key = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        back = np.arange(WINDOW - ANCHOR + 1)
+        for lo, hi, buf, offsets in K.slices(batch.column(0)):
+            _, _, its, hashes = K.words(buf, offsets)
+            begin = K.row_starts(its, hi - lo)
+            for i in range(hi - lo):
+                anchor = np.array(batch.column(2)[lo + i].as_py(), np.int64)
+                first = np.unique(anchor[:, None] - back)
+                first = first[(first >= 0) & (first + WINDOW <= begin[i + 1] - begin[i])]
+                row.append(np.full(len(first), lo + i))
+                place.append(first)
+                key.append(np.zeros(0, np.uint64) if not len(first) else K.range_hashes(hashes[begin[i] : begin[i + 1]], first, first + WINDOW))
+        cols = [batch.column(1).take(pa.array(np.concatenate(row))), pa.array(np.concatenate(place).astype(np.int32)), pa.array(np.concatenate(key).view(np.int64))]
         return pa.RecordBatch.from_arrays(cols, names=["rid", "place", "key"])
 
-    return map_arrow(docs.select("text", "rid"), fn, "rid bigint, place int, key bigint")
+    return map_arrow(there.select("text", "rid", "places"), fn, "rid bigint, place int, key bigint", 64)
 
 
 class Index:
-    """The runs; every run is a bucketed table in the shared folder."""
+    """The runs of fingerprints and those of windows; every run is a bucketed table in the shared folder."""
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.dir, self.made = spark, f"{shared_dir(spark)}/plumbline", []
         self.runs: list[DataFrame] = []
+        self.windows: list[DataFrame] = []
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def written(self, rows: DataFrame, shuffled: bool = True) -> DataFrame:
@@ -126,29 +159,43 @@ class Index:
         self.made.append(name)
         return self.spark.table(name)
 
-    def add(self, batch: DataFrame) -> DataFrame:
-        """Match a batch (a run) with the older runs and itself; returns occurrences with an earlier one."""
-        first = self.written(batch.groupBy("key").agg(F.min(F.struct("rid", "place")).alias("ref")), shuffled=False)
+    def _met(self, batch: DataFrame, runs: list[DataFrame], ref: list[str]) -> DataFrame:
+        """Occurrences of a batch (a run) with an earlier one in it or in an older run; its own run is added."""
+        first = self.written(batch.groupBy("key").agg(F.min(F.struct(*ref)).alias("ref")), shuffled=False)
         out = batch.join(first, "key").where("NOT (rid = ref.rid AND place = ref.place)")
-        for run in self.runs:
+        for run in runs:
             out = out.unionByName(batch.join(run, "key"))
-        self.runs.append(first)
-        if len(self.runs) > FANOUT:
-            self.compact()
+        runs.append(first)
+        return out
+
+    def add(self, docs: DataFrame, known: DataFrame) -> DataFrame:
+        """Match a batch of documents with the older ones and itself; ``known`` holds all documents so far.  Returns occurrences with an earlier one."""
+        batch = self.written(_keys(docs))
+        met = saved(self._met(batch, self.runs, ["rid", "place", "around"]), "met")
+        apart = met.where("around <> ref.around")
+        places = apart.select("rid", "place").unionByName(apart.select("ref.rid", "ref.place")).distinct()
+        windows = self.written(_windows(known, places))
+        exact = self._met(windows, self.windows, ["rid", "place"]).where("NOT (rid = ref.rid AND place = ref.place)")
+        self.compact()
+        out = met.drop("around").withColumn("ref", F.struct("ref.rid", "ref.place")).unionByName(exact)
         return out.select("rid", "place", F.col("ref.rid").alias("ref_rid"), (F.col("ref.place") - F.col("place")).alias("shift"))
 
     def compact(self) -> None:
-        """Merge all runs into one; of equal keys the older run's occurrence stays."""
-        aged = [run.withColumn("age", F.lit(k)) for k, run in enumerate(self.runs)]
-        every = aged[0]
-        for run in aged[1:]:
-            every = every.unionByName(run)
-        merged = every.groupBy("key").agg(F.min_by("ref", "age").alias("ref"))
-        self.runs = [self.written(merged)]
+        """Merge more than FANOUT runs into one; of equal keys the older run's occurrence stays."""
+        for runs in (self.runs, self.windows):
+            if len(runs) > FANOUT:
+                aged = [run.withColumn("age", F.lit(k)) for k, run in enumerate(runs)]
+                every = aged[0]
+                for run in aged[1:]:
+                    every = every.unionByName(run)
+                runs[:] = [self.written(every.groupBy("key").agg(F.min_by("ref", "age").alias("ref")))]
 
     def close(self) -> None:
+        """Drop the runs and their files."""
         for name in self.made:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.dir}/{name}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _stretches(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -156,8 +203,13 @@ def _stretches(docs: DataFrame, spans: DataFrame) -> DataFrame:
     mine = F.struct(F.col("rid"), F.lit(0).alias("side"), F.col("lo"), F.col("hi"))
     theirs = F.struct(F.col("ref_rid").alias("rid"), F.lit(1).alias("side"), (F.col("lo") + F.col("shift")).alias("lo"), (F.col("hi") + F.col("shift")).alias("hi"))
     wanted = spans.select("span", F.explode(F.array(mine, theirs)).alias("c")).select("span", "c.*")
-    grouped = saved(wanted.groupBy(F.col("rid").alias("cut_rid")).agg(F.collect_list(F.struct("span", "side", "lo", "hi")).alias("cuts")), "cuts")
-    ids = sized(grouped.select("cut_rid"), 16)
+    # the earliest holder of a common passage has a cut for each later one, so its cuts are spread over salts
+    hot = saved(wanted.groupBy(F.col("rid").alias("hot_rid")).agg(F.count("*").alias("n")).where(f"n > {PER_CUT}"), "hot-cuts")
+    wanted = wanted.join(sized(hot, 64), F.col("rid") == F.col("hot_rid"), "left")
+    salt = F.coalesce(F.pmod(F.xxhash64("span", "side"), F.expr(f"1 + n div {PER_CUT}")), F.lit(0))
+    grouped = wanted.groupBy(F.col("rid").alias("cut_rid"), salt.alias("salt")).agg(F.collect_list(F.struct("span", "side", "lo", "hi")).alias("cuts"))
+    grouped = saved(grouped, "cuts")
+    ids = sized(grouped.select("cut_rid"), 64)
     every = _identified(docs)
     # documents without a match go before the rest are shuffled to their cuts
     there = every.join(ids, F.col("rid") == F.col("cut_rid"), "left_semi").dropDuplicates(["rid"]).join(grouped, F.col("rid") == F.col("cut_rid"))
@@ -239,8 +291,8 @@ def repeated_passages(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
         matches = []
         every = _identified(docs)
         for k in range(batches):
-            batch = index.written(_keys(every.where(F.pmod("rid", F.lit(batches)) == k)))
-            matches.append(saved(_folded(index.add(batch)), "matches"))
+            part = F.pmod("rid", F.lit(batches))
+            matches.append(saved(_folded(index.add(every.where(part == k), every.where(part <= k))), "matches"))
         found = matches[0]
         for more in matches[1:]:
             found = found.unionByName(more)

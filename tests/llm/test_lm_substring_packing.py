@@ -110,6 +110,25 @@ def test_passages_against_brute_force(spark, batches):
     assert not any(cover[40 + i] for i in range(5))
 
 
+@pytest.mark.parametrize("batches", [1, 4])
+def test_no_passage_is_lost_to_an_earlier_holder_of_a_part_of_it(spark, batches):
+    """Quotes of 30 to 49 words and edited copies besides whole passages of 50 to 60: whichever comes first, every whole one is found."""
+    rows = []
+    for g in range(8):
+        passage = prose(5000 + g, 50 + g % 4 * 3).split()
+        for i in range(24):
+            part = passage
+            if i % 3 == 1:
+                a = i % 12
+                part = passage[a : a + 38]
+            elif i % 3 == 2:
+                part = [*passage[: 30 + i % 8], "edited", *passage[31 + i % 8 :]]
+            rows.append((g * 100 + i, f"{prose(6000 + g * 100 + i, 60)} {' '.join(part)} {prose(9000 + g * 100 + i, 50)}", "en", "s", 0))
+    cover = _found(substring.repeated_passages(table(spark, rows), batches).collect())
+    want = [(d, p) for w in _windows(rows) for d, p in w]
+    assert len(want) > 300 and all(p in cover[d] for d, p in want)
+
+
 def test_passages_on_awkward_rows(spark):
     got = substring.repeated_passages(clashing(spark)).collect()
     pairs = {frozenset((r["doc_id"], r["ref_doc_id"])) for r in got}
