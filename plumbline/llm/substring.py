@@ -16,7 +16,7 @@ on either side, which a second hash tells.  Where they differ, an occurrence and
 the hashes of all windows of ``WINDOW`` words around the fingerprint into a second list of runs, with exact windows for keys; so
 occurrences that share a passage meet there, whichever document holds the key first, and none is left out.
 
-Each match is verified on the words themselves: both documents send the stretch around the
+Windows that lie in a passage already found in their document are done.  Each other match is verified on the words themselves: both documents send the stretch around the
 matched fingerprints, the words are compared, and the common stretch is kept if it has ``WINDOW``
 words or more.
 
@@ -29,6 +29,7 @@ count; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +39,9 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .work import map_arrow, saved, shared_dir, sized
 
-WINDOW, ANCHOR, CONTEXT, BATCHES, FANOUT = 50, 10, 20, 4, 2
+WINDOW, ANCHOR, CONTEXT, BATCHES, FANOUT = 50, 10, 20, 3, 2
 #: Cuts of one document that go to one task.
-PER_CUT = 512
+PER_CUT = 128
 
 
 def _sliding(values: np.ndarray, width: int, better: np.ufunc) -> np.ndarray:
@@ -168,17 +169,21 @@ class Index:
         runs.append(first)
         return out
 
-    def add(self, docs: DataFrame, known: DataFrame) -> DataFrame:
-        """Match a batch of documents with the older ones and itself; ``known`` holds all documents so far.  Returns occurrences with an earlier one."""
+    def add(self, docs: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Match a batch of documents with the older ones and itself; ``known`` holds all documents so far.
+
+        Returns occurrences with an earlier one: of fingerprints, and of windows.
+        """
         batch = self.written(_keys(docs))
         met = saved(self._met(batch, self.runs, ["rid", "place", "around"]), "met")
         apart = met.where("around <> ref.around")
         places = apart.select("rid", "place").unionByName(apart.select("ref.rid", "ref.place")).distinct()
         windows = self.written(_windows(known, places))
         exact = self._met(windows, self.windows, ["rid", "place"]).where("NOT (rid = ref.rid AND place = ref.place)")
+        led = ["rid", "place", F.col("ref.rid").alias("ref_rid"), (F.col("ref.place") - F.col("place")).alias("shift")]
+        exact = saved(exact.select(*led), "exact")
         self.compact()
-        out = met.drop("around").withColumn("ref", F.struct("ref.rid", "ref.place")).unionByName(exact)
-        return out.select("rid", "place", F.col("ref.rid").alias("ref_rid"), (F.col("ref.place") - F.col("place")).alias("shift"))
+        return met.select(*led), exact
 
     def compact(self) -> None:
         """Merge more than FANOUT runs into one; of equal keys the older run's occurrence stays."""
@@ -231,7 +236,7 @@ def _stretches(docs: DataFrame, spans: DataFrame) -> DataFrame:
         cols = [pa.array(span, pa.int64()), pa.array(side, pa.int32()), batch.column(0).take(pa.array(row, pa.int64())), pa.array(words, pa.binary())]
         return pa.RecordBatch.from_arrays(cols, names=["span", "side", "doc_id", "words"])
 
-    return map_arrow(there.select("doc_id", "text", "cuts"), fn, f"span bigint, side int, doc_id {kind}, words binary", 64)
+    return map_arrow(there.select("doc_id", "text", "cuts"), fn, f"span bigint, side int, doc_id {kind}, words binary", 8)
 
 
 def common_runs(a: list[bytes], b: list[bytes], least: int) -> list[tuple[int, int]]:
@@ -253,7 +258,7 @@ def _verified(spans: DataFrame, docs: DataFrame) -> DataFrame:
     cut = _stretches(docs, spans)
     side = lambda k, c: F.max(F.when(F.col("side") == k, F.struct(c))).alias(f"{c}{k}")
     both = cut.groupBy("span").agg(side(0, "doc_id"), side(1, "doc_id"), side(0, "words"), side(1, "words"))
-    both = both.join(spans.select("span", "lo", "shift"), "span")
+    both = both.join(spans.select("span", "lo", "shift", "rid"), "span")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -265,12 +270,12 @@ def _verified(spans: DataFrame, docs: DataFrame) -> DataFrame:
                 end.append(lo + b)
         row = pa.array(at, pa.int64())
         b, e = np.array(begin, np.int32), np.array(end, np.int32)
-        cols = [batch.column(0).take(row), batch.column(1).take(row), pa.array(b), pa.array(e), pa.array(b + batch.column(5).to_numpy()[at].astype(np.int32) if at else b)]
-        return pa.RecordBatch.from_arrays(cols, names=["doc_id", "ref_doc_id", "start_word", "end_word", "ref_start_word"])
+        cols = [batch.column(0).take(row), batch.column(1).take(row), pa.array(b), pa.array(e), pa.array(b + batch.column(5).to_numpy()[at].astype(np.int32) if at else b), batch.column(6).take(row)]
+        return pa.RecordBatch.from_arrays(cols, names=["doc_id", "ref_doc_id", "start_word", "end_word", "ref_start_word", "rid"])
 
-    slim = both.select("doc_id0.doc_id", F.col("doc_id1.doc_id").alias("ref_doc_id"), F.col("words0.words").alias("words"), F.col("words1.words").alias("ref_words"), "lo", "shift")
-    out = map_arrow(slim, fn, f"doc_id {kind}, ref_doc_id {kind}, start_word int, end_word int, ref_start_word int")
-    return out.distinct()
+    slim = both.select("doc_id0.doc_id", F.col("doc_id1.doc_id").alias("ref_doc_id"), F.col("words0.words").alias("words"), F.col("words1.words").alias("ref_words"), "lo", "shift", "rid")
+    out = map_arrow(slim, fn, f"doc_id {kind}, ref_doc_id {kind}, start_word int, end_word int, ref_start_word int, rid bigint", 64)
+    return saved(out.distinct(), "verified")
 
 
 def _folded(found: DataFrame) -> DataFrame:
@@ -284,18 +289,27 @@ def _folded(found: DataFrame) -> DataFrame:
     return rows.select("rid", "ref_rid", "shift", F.get("p", F.col("col")).alias("first"), last.alias("last"))
 
 
+def _uncovered(windows: DataFrame, found: DataFrame) -> DataFrame:
+    """Occurrences of windows that don't lie in a passage already found in their document."""
+    # a document's own passages, as long as it is
+    held = found.groupBy(F.col("rid").alias("held_rid")).agg(F.collect_set(F.struct("start_word", "end_word")).alias("held"))
+    joined = windows.join(held, F.col("rid") == F.col("held_rid"), "left")
+    inside = F.exists("held", lambda h: (h["start_word"] <= F.col("place")) & (F.col("place") + WINDOW <= h["end_word"]))
+    return joined.where(~F.coalesce(inside, F.lit(False))).select(*windows.columns)
+
+
 def repeated_passages(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """doc_id, ref_doc_id, start_word, end_word, ref_start_word of every repeated passage and its earlier occurrence."""
     index = Index(docs.sparkSession)
     try:
-        matches = []
+        parts = []
         every = _identified(docs)
         for k in range(batches):
             part = F.pmod("rid", F.lit(batches))
-            matches.append(saved(_folded(index.add(every.where(part == k), every.where(part <= k))), "matches"))
-        found = matches[0]
-        for more in matches[1:]:
-            found = found.unionByName(more)
-        return _verified(found, docs)
+            met, exact = index.add(every.where(part == k), every.where(part <= k))
+            parts.append((saved(_folded(met), "matches"), exact))
+        matches, windows = (reduce(DataFrame.unionByName, x) for x in zip(*parts, strict=True))
+        found = _verified(matches, docs)
+        return found.unionByName(_verified(_folded(_uncovered(windows, found)), docs)).drop("rid").distinct()
     finally:
         index.close()
