@@ -146,7 +146,7 @@ class Index:
     """The runs of fingerprints and those of windows; every run is a bucketed table in the shared folder."""
 
     def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.dir, self.made = spark, f"{shared_dir(spark)}/plumbline", []
+        self.spark, self.dir, self.made = spark, f"{shared_dir(spark)}/plumbline", {}
         self.runs: list[DataFrame] = []
         self.windows: list[DataFrame] = []
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -157,8 +157,17 @@ class Index:
         placed = rows.repartition(self.buckets, "key") if shuffled else rows
         writer = placed.write.bucketBy(self.buckets, "key").sortBy("key").format("parquet")
         writer.option("path", f"{self.dir}/{name}").saveAsTable(name)
-        self.made.append(name)
-        return self.spark.table(name)
+        run = self.spark.table(name)
+        self.made[name] = run
+        return run
+
+    def drop(self, runs: list[DataFrame]) -> None:
+        """Drop runs that nothing reads any more, with their files."""
+        for name in [name for name, run in self.made.items() if any(run is r for r in runs)]:
+            del self.made[name]
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.dir}/{name}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def _met(self, batch: DataFrame, runs: list[DataFrame], ref: list[str]) -> DataFrame:
         """Occurrences of a batch (a run) with an earlier one in it or in an older run; its own run is added."""
@@ -172,7 +181,7 @@ class Index:
     def add(self, docs: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Match a batch of documents with the older ones and itself; ``known`` holds all documents so far.
 
-        Returns occurrences with an earlier one: of fingerprints, and of windows.
+        Returns stretches with an earlier occurrence: of fingerprints, and of windows.
         """
         batch = self.written(_keys(docs))
         met = saved(self._met(batch, self.runs, ["rid", "place", "around"]), "met")
@@ -181,9 +190,10 @@ class Index:
         windows = self.written(_windows(known, places))
         exact = self._met(windows, self.windows, ["rid", "place"]).where("NOT (rid = ref.rid AND place = ref.place)")
         led = ["rid", "place", F.col("ref.rid").alias("ref_rid"), (F.col("ref.place") - F.col("place")).alias("shift")]
-        exact = saved(exact.select(*led), "exact")
+        out = saved(_folded(met.select(*led)), "matches"), saved(_folded(exact.select(*led)), "exact")
+        self.drop([batch, windows])
         self.compact()
-        return met.select(*led), exact
+        return out
 
     def compact(self) -> None:
         """Merge more than FANOUT runs into one; of equal keys the older run's occurrence stays."""
@@ -193,14 +203,13 @@ class Index:
                 every = aged[0]
                 for run in aged[1:]:
                     every = every.unionByName(run)
-                runs[:] = [self.written(every.groupBy("key").agg(F.min_by("ref", "age").alias("ref")))]
+                merged = self.written(every.groupBy("key").agg(F.min_by("ref", "age").alias("ref")), shuffled=False)
+                self.drop(runs)
+                runs[:] = [merged]
 
     def close(self) -> None:
         """Drop the runs and their files."""
-        for name in self.made:
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.dir}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.drop(list(self.made.values()))
 
 
 def _stretches(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -289,13 +298,13 @@ def _folded(found: DataFrame) -> DataFrame:
     return rows.select("rid", "ref_rid", "shift", F.get("p", F.col("col")).alias("first"), last.alias("last"))
 
 
-def _uncovered(windows: DataFrame, found: DataFrame) -> DataFrame:
-    """Occurrences of windows that don't lie in a passage already found in their document."""
+def _uncovered(stretches: DataFrame, found: DataFrame) -> DataFrame:
+    """Stretches of windows (each from its first to its last place) that don't lie in a passage already found in their document."""
     # a document's own passages, as long as it is
     held = found.groupBy(F.col("rid").alias("held_rid")).agg(F.collect_set(F.struct("start_word", "end_word")).alias("held"))
-    joined = windows.join(held, F.col("rid") == F.col("held_rid"), "left")
-    inside = F.exists("held", lambda h: (h["start_word"] <= F.col("place")) & (F.col("place") + WINDOW <= h["end_word"]))
-    return joined.where(~F.coalesce(inside, F.lit(False))).select(*windows.columns)
+    joined = stretches.join(held, F.col("rid") == F.col("held_rid"), "left")
+    inside = F.exists("held", lambda h: (h["start_word"] <= F.col("first")) & (F.col("last") + WINDOW <= h["end_word"]))
+    return joined.where(~F.coalesce(inside, F.lit(False))).select(*stretches.columns)
 
 
 def repeated_passages(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
@@ -306,10 +315,9 @@ def repeated_passages(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
         every = _identified(docs)
         for k in range(batches):
             part = F.pmod("rid", F.lit(batches))
-            met, exact = index.add(every.where(part == k), every.where(part <= k))
-            parts.append((saved(_folded(met), "matches"), exact))
+            parts.append(index.add(every.where(part == k), every.where(part <= k)))
         matches, windows = (reduce(DataFrame.unionByName, x) for x in zip(*parts, strict=True))
         found = _verified(matches, docs)
-        return found.unionByName(_verified(_folded(_uncovered(windows, found)), docs)).drop("rid").distinct()
+        return found.unionByName(_verified(_uncovered(windows, found), docs)).drop("rid").distinct()
     finally:
         index.close()
