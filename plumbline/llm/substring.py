@@ -117,10 +117,11 @@ def _keys(docs: DataFrame) -> DataFrame:
 
 
 def _windows(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """rid, place and key (their hash) of all windows of ``WINDOW`` words that hold the fingerprints at (rid, place), each once."""
+    """rid, place and key (their hash) of all windows of ``WINDOW`` words that hold the fingerprints at (rid, place)."""
     # a document has fewer places than words
     grouped = saved(places.groupBy(F.col("rid").alias("at_rid")).agg(F.collect_set("place").alias("places")), "places")
-    there = docs.join(sized(grouped.select("at_rid"), 64), F.col("rid") == F.col("at_rid"), "left_semi").dropDuplicates(["rid"])
+    there = docs.join(sized(grouped.select("at_rid"), 64), F.col("rid") == F.col("at_rid"), "left_semi")
+    # a repeated row gives the same windows again, which meet nothing new
     there = there.join(grouped, F.col("rid") == F.col("at_rid"))
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -186,7 +187,7 @@ class Index:
         batch = self.written(_keys(docs))
         met = saved(self._met(batch, self.runs, ["rid", "place", "around"]), "met")
         apart = met.where("around <> ref.around")
-        places = apart.select("rid", "place").unionByName(apart.select("ref.rid", "ref.place")).distinct()
+        places = apart.select("rid", "place").unionByName(apart.select("ref.rid", "ref.place"))
         windows = self.written(_windows(known, places))
         exact = self._met(windows, self.windows, ["rid", "place"]).where("NOT (rid = ref.rid AND place = ref.place)")
         led = ["rid", "place", F.col("ref.rid").alias("ref_rid"), (F.col("ref.place") - F.col("place")).alias("shift")]
@@ -226,7 +227,7 @@ def _stretches(docs: DataFrame, spans: DataFrame) -> DataFrame:
     ids = sized(grouped.select("cut_rid"), 64)
     every = _identified(docs)
     # documents without a match go before the rest are shuffled to their cuts
-    there = every.join(ids, F.col("rid") == F.col("cut_rid"), "left_semi").dropDuplicates(["rid"]).join(grouped, F.col("rid") == F.col("cut_rid"))
+    there = every.join(ids, F.col("rid") == F.col("cut_rid"), "left_semi").join(grouped, F.col("rid") == F.col("cut_rid"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
