@@ -1,17 +1,16 @@
-"""SimHash near-deduplication with pigeonhole blocks.
+"""SimHash near-deduplication by an exact Hamming join.
 
 A fingerprint has 320 bits, the majority votes of the document's distinct words (lower
-case, without punctuation).  It is cut into 16 leading blocks of 12 bits and 16 following ones of 8.  A key is a
-leading block with one of the 8 following blocks that go with it, so each key has 20 bits; by the
-pigeonhole principle two fingerprints within ``CERTAIN`` bits agree on a whole key.  Near
-copies with many edits lie further apart; a pair at distance d meets on one of the 128 keys with a
-probability that the tests hold above 0.9 over the pairs within ``DISTANCE``.
-
-Documents are shuffled by leading blocks alone, 16 rows each; the following blocks split the buckets
-inside a task.  Each pair that meets is verified by its full Hamming distance.
-Equal fingerprints are merged before the join into one node with a number of its own, and a bucket reports a spanning forest of its
-verified pairs instead of all of them, so a group of thousands costs thousands of edges.
-Groups are the connected components of verified pairs.
+case, without punctuation).  Two documents are near if their fingerprints differ in at most
+``DISTANCE`` bits, and no such link is lost: a fingerprint is cut into 11 blocks of 29 or 30
+bits, and two within 54 bits differ in at most 4 bits of some block.  Each goes to every value
+within 2 bits of its own in a block, so the two meet on one.  Pairs that meet are
+verified by their full Hamming distance.
+
+Equal fingerprints are merged before the join into one node with a number of its own.  Nodes are
+cut into chunks of about ``CHUNK``; a task joins two chunks, or while there is one, some of its blocks.
+A task reports a spanning forest of its verified pairs instead of all of them, so a group of
+thousands costs thousands of edges.  Groups are the connected components of verified pairs.
 
 Defined results: a null text counts as empty, and a document without a word is near to
 nothing; the smallest doc_id of a group is kept (null last; of repeated rows one); an empty
@@ -21,6 +20,8 @@ table gives an empty result; extra columns pass through.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +32,11 @@ from . import kernels as K
 from .components import components
 from .work import map_arrow, saved, sized
 
-BITS, LEADING, FOLLOWING, BLOCKS, PARTNERS, DISTANCE = 320, 12, 8, 16, 8, 54
-#: 16 differing bits can spoil every leading block; fewer can't.
-CERTAIN = BLOCKS - 1
+BITS, DISTANCE = 320, 54
+#: Bits of a block that each row of a pair flips to meet the other.
+FLIPS = 2
+#: Nodes of a chunk, nodes for which one task is enough, keys of a slice, pairs verified at once, rows of a run looked at without regard to components.
+CHUNK, ALONE, KEYS, PAIRS, LONG = 500_000, 16_384, 1 << 20, 1 << 19, 32
 WORDS64 = BITS // 64
 MAX_VOTES = 60_000
 F_NAMES = [f"f{i}" for i in range(WORDS64)]
@@ -76,32 +79,6 @@ def fingerprints(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, count
 
 
-def _bits(fp: np.ndarray) -> np.ndarray:
-    return np.unpackbits(np.ascontiguousarray(fp).view(np.uint8), axis=1, bitorder="little")
-
-
-def _values(bits: np.ndarray, width: int) -> np.ndarray:
-    weight = (1 << np.arange(width)).astype(np.float32)
-    return (bits.reshape(len(bits), BLOCKS, width).astype(np.float32) @ weight).astype(np.int64)
-
-
-def leading_keys(fp: np.ndarray) -> np.ndarray:
-    """(rows, BLOCKS) keys: the number of the leading block above its bits."""
-    return _values(_bits(fp)[:, : BLOCKS * LEADING], LEADING) + (np.arange(BLOCKS) << LEADING)
-
-
-def following(fp: np.ndarray) -> np.ndarray:
-    """(rows, BLOCKS) values of the following blocks."""
-    return _values(_bits(fp)[:, BLOCKS * LEADING :], FOLLOWING)
-
-
-def keys_of(fp: np.ndarray) -> np.ndarray:
-    """All (rows, BLOCKS * PARTNERS) keys."""
-    lead, follow = leading_keys(fp), following(fp)
-    pairs = [lead[:, i] << FOLLOWING | follow[:, (i + j) % BLOCKS] for i in range(BLOCKS) for j in range(PARTNERS)]
-    return np.stack([k * PARTNERS + n % PARTNERS for n, k in enumerate(pairs)], 1)
-
-
 def _hashed(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, whether there are words, and the fingerprint of every row."""
 
@@ -115,99 +92,221 @@ def _hashed(docs: DataFrame) -> DataFrame:
     return map_arrow(slim, add, f"doc_id {kind}, text_hash bigint, worded boolean, {F_SCHEMA}")
 
 
-def _blocks(batch: pa.RecordBatch) -> pa.RecordBatch:
-    fp = np.stack([batch.column(1 + k).to_numpy().view(np.uint64) for k in range(WORDS64)], 1)
-    keys = leading_keys(fp) if len(fp) else np.zeros((0, BLOCKS), np.int64)
-    at = pa.array(np.repeat(np.arange(len(fp)), BLOCKS))
-    cols = [pa.array(keys.reshape(-1).astype(np.int32)), *(batch.column(i).take(at) for i in range(1 + WORDS64))]
-    return pa.RecordBatch.from_arrays(cols, names=["block", "node", *F_NAMES])
+class Forest:
+    """Components of rows, and the edges that span them."""
+
+    def __init__(self, rows: int):
+        self.label = np.arange(rows)
+        self.found: list[np.ndarray] = []
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        while True:
+            a, b = self.label[i], self.label[j]
+            apart = a != b
+            if not apart.any():
+                return
+            i, j, low, high = i[apart], j[apart], np.minimum(a, b)[apart], np.maximum(a, b)[apart]
+            np.minimum.at(self.label, high, low)
+            used = np.flatnonzero(low == self.label[high])
+            used = used[np.unique(high[used], return_index=True)[1]]
+            self.found.append(np.stack([i[used], j[used]]))
+            while not np.array_equal(up := self.label[self.label], self.label):
+                self.label = up
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        i, j = np.concatenate([np.zeros((2, 0), np.int64), *self.found], 1)
+        return i, j
 
 
 def _near(fp: np.ndarray, i: np.ndarray, j: np.ndarray, limit: int) -> np.ndarray:
-    """Which pairs lie within ``limit``; after each word only those that still can are looked at."""
+    """Which pairs of columns lie within ``limit``; after each word only those that still can are looked at."""
     live = np.arange(len(i))
-    distance = np.zeros(len(i), np.int32)
-    for k in range(WORDS64):
-        distance = distance + np.bitwise_count(fp[i[live], k] ^ fp[j[live], k])
-        ok = distance <= limit
-        live, distance = live[ok], distance[ok]
+    distance = np.bitwise_count(fp[0][i] ^ fp[0][j]).astype(np.int16)
+    for k in range(1, WORDS64):
+        distance = distance + np.bitwise_count(fp[k][i] ^ fp[k][j])
+        ok = np.flatnonzero(distance <= limit)
+        live, distance, i, j = live[ok], distance[ok], i[ok], j[ok]
     return live
 
 
+def _link(keys: np.ndarray, row: np.ndarray, fp: np.ndarray, limit: int, forest: Forest) -> None:
+    """Add those near pairs that join each row to the one before or to the first of its run of equal sorted keys; it makes close groups one component cheaply."""
+    at = np.flatnonzero(keys[1:] == keys[:-1]) + 1
+    start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    first = start[np.searchsorted(start, at, "right") - 1]
+    for other in (at - 1, first):
+        a, b = row[other], row[at]
+        near = _near(fp, a, b, limit)
+        forest.add(a[near], b[near])
+
+
+def _join(keys: np.ndarray, row: np.ndarray, fp: np.ndarray, limit: int, forest: Forest) -> None:
+    """Add every near pair of two components in a run of equal sorted keys; in a run, rows of one component should adjoin."""
+    new = np.r_[True, keys[1:] != keys[:-1]]
+    label = forest.label[row]
+    bounds = np.r_[np.flatnonzero(new), len(keys)]
+    group = np.r_[np.flatnonzero(new | np.r_[True, label[1:] != label[:-1]]), len(keys)]
+    after = np.repeat(group[1:], np.diff(group))
+    count = np.repeat(bounds[1:], np.diff(bounds)) - after
+    at = np.flatnonzero(count)
+    after, count = after[at], count[at]
+    total = np.cumsum(count)
+    known = len(forest.found)
+    lo = 0
+    while lo < len(at):
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] - count[lo] + PAIRS, "right")))
+        c = count[lo:hi]
+        a = np.repeat(row[at[lo:hi]], c)
+        b = row[np.arange(int(c.sum())) + np.repeat(after[lo:hi] - np.cumsum(c) + c, c)]
+        if len(forest.found) > known:
+            apart = forest.label[a] != forest.label[b]
+            a, b = a[apart], b[apart]
+        near = _near(fp, a, b, limit)
+        forest.add(a[near], b[near])
+        lo = hi
+
+
 def bucket_edges(keys: np.ndarray, fp: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """Verified pairs (i, j) that span the components of each run of equal sorted keys."""
-    bounds = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
-    size = np.diff(bounds)
-    found_i, found_j = [], []
-    for s in np.unique(size[(size > 1) & (size <= 64)]).tolist():
-        first = bounds[:-1][size == s]
-        a, b = np.triu_indices(s, 1)
-        step = max(1, (1 << 20) // len(a))
-        for x in range(0, len(first), step):
-            i = (first[x : x + step, None] + a).reshape(-1)
-            j = (first[x : x + step, None] + b).reshape(-1)
-            ok = _near(fp, i, j, limit)
-            found_i.append(i[ok])
-            found_j.append(j[ok])
-    for r in np.flatnonzero(size > 64).tolist():
-        lo, hi = int(bounds[r]), int(bounds[r + 1])
-        label = np.arange(hi - lo)
-        for x in range(hi - lo - 1):
-            others = np.arange(lo + x + 1, hi)
-            near = others[_near(fp, np.full(len(others), lo + x), others, limit)] - lo
-            joins, which = np.unique(label[near], return_index=True)
-            new = joins != label[x]
-            if new.any():
-                found_i.append(np.full(int(new.sum()), lo + x))
-                found_j.append(near[which[new]] + lo)
-                label[np.isin(label, joins)] = label[x]
-    if not found_i:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(found_i), np.concatenate(found_j)
-
-
-def _verify(limit: int):
-    def edges(lead: np.ndarray, node: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        follow = following(fp)
-        pairs = []
-        for j in range(PARTNERS):
-            partner = ((lead >> LEADING) + j) % BLOCKS
-            key = lead << FOLLOWING | follow[np.arange(len(lead)), partner]
-            order = np.argsort(key, kind="stable")
-            i, k = bucket_edges(key[order], fp[order], limit)
-            a, b = node[order[i]], node[order[k]]
-            pairs.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
-        pair = np.unique(np.concatenate(pairs), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            lead, node = batch.column(0).to_numpy().astype(np.int64), batch.column(1).to_numpy()
-            fp = np.stack([batch.column(2 + i).to_numpy() for i in range(WORDS64)], 1).view(np.uint64)
-            if held and lead[0] != held[-1][0][-1]:
-                yield edges(*(np.concatenate(x) for x in zip(*held, strict=True)))
-                held = []
-            # the last run of a batch may go on in the next one
-            cut = int(np.searchsorted(lead, lead[-1]))
-            if cut:
-                done = [*held, (lead[:cut], node[:cut], fp[:cut])]
-                held = []
-                yield edges(*(np.concatenate(x) for x in zip(*done, strict=True)))
-            held.append((lead[cut:], node[cut:], fp[cut:]))
-        if held:
-            yield edges(*(np.concatenate(x) for x in zip(*held, strict=True)))
+    forest, fp, row = Forest(len(keys)), np.ascontiguousarray(fp.T), np.arange(len(keys))
+    _link(keys, row, fp, limit, forest)
+    row = np.lexsort((forest.label, keys))
+    _join(keys[row], row, fp, limit, forest)
+    return forest.edges()
+
+
+def blocks_for(limit: int) -> list[tuple[int, int]]:
+    """First bit and width of each block: so many that within ``limit`` bits one block differs in at most 2 * FLIPS."""
+    n = max(BITS // 32, limit // (2 * FLIPS + 1) + 1)
+    cut = [BITS * k // n for k in range(n + 1)]
+    return [(a, b - a) for a, b in zip(cut, cut[1:], strict=False)]
+
+
+def _value(fp: np.ndarray, first: int, width: int) -> np.ndarray:
+    """Bits of every column from ``first`` on, up to 64; the first bit follows the last."""
+    word, shift = divmod(first % BITS, 64)
+    value = fp[word] >> np.uint64(shift)
+    if shift + width > 64:
+        value = value | fp[(word + 1) % WORDS64] << np.uint64(64 - shift)
+    return value & np.uint64((1 << width) - 1)
+
+
+def _masks(width: int, flips: int) -> np.ndarray:
+    """All numbers of ``width`` bits with exactly ``flips`` bits set."""
+    return np.array([sum(1 << b for b in c) for c in combinations(range(width), flips)], np.uint64)
+
+
+def _sift(keys: np.ndarray, row: np.ndarray, ring: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows in runs of equal sorted keys that differ in at most ``most`` bits of ``ring``."""
+    lag, i = 1, np.flatnonzero(keys[1:] == keys[:-1])
+    while len(i):
+        a, b = row[i], row[i + lag]
+        near = np.flatnonzero(np.bitwise_count(ring[a] ^ ring[b]) <= most)
+        yield a[near], b[near]
+        lag += 1
+        i = i[: np.searchsorted(i, len(keys) - lag)]
+        i = i[keys[i] == keys[i + lag]]
+
+
+def _meet(fp: np.ndarray, blocks: list[tuple[int, int]], k: int, limit: int, forest: Forest) -> None:
+    """Add every near pair of two components for which block ``k`` begins a ring.
+
+    Going round the blocks, some block of a near pair begins a ring: any number of blocks from there
+    on differ in no more bits than their share of ``limit`` (cycle lemma).  So the first
+    differs in at most 2 * FLIPS bits, and the first three in three shares.
+    Each row goes to all values within FLIPS of its own, so two such rows meet.  A slice holds the
+    values with equal upper bits: what a row flips there, it can't flip below.
+    """
+    rows, (first, width) = fp.shape[1], blocks[k]
+    order = np.argsort(forest.label, kind="stable")
+    value = _value(fp, first, width)[order]
+    following = sum(blocks[(k + n) % len(blocks)][1] for n in (1, 2))
+    ring, most = _value(fp, first + width, following)[order], 3 * limit // len(blocks)
+    keys = rows * sum(comb(width, f) for f in range(FLIPS + 1))
+    upper = min(width - 1, max(0, (keys // KEYS).bit_length()))
+    lower = np.uint64(width - upper)
+    top, low = (value >> lower).astype(np.int64), (value & ((np.uint64(1) << lower) - np.uint64(1))) << np.uint64(32)
+    low |= np.arange(rows, dtype=np.uint64)
+    by_top = np.argsort(top, kind="stable")
+    low = low[by_top]
+    bounds = np.searchsorted(top[by_top], np.arange((1 << upper) + 1))
+    tops = [_masks(upper, f).astype(np.int64) for f in range(FLIPS + 1)]
+    lows = [np.concatenate([_masks(int(lower), f) for f in range(r + 1)]) << np.uint64(32) for r in range(FLIPS + 1)]
+    for part in range(1 << upper):
+        found = []
+        for flips, mask in enumerate(tops):
+            own = [low[bounds[t] : bounds[t + 1]] for t in (part ^ mask).tolist()]
+            if own:
+                found.append((np.concatenate(own) ^ lows[FLIPS - flips][:, None]).reshape(-1))
+        packed = np.concatenate(found)
+        packed.sort()
+        key, row = (packed >> np.uint64(32)).astype(np.uint32), packed.astype(np.uint32)
+        if (key[LONG:] == key[:-LONG]).any():
+            bound = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)]
+            size = np.diff(bound)
+            crowded = np.repeat(size > LONG, size)
+            _join(key[crowded], order[row[crowded]], fp, limit, forest)
+            key, row = key[~crowded], row[~crowded]
+        for a, b in _sift(key, row, ring, most):
+            a, b = order[a], order[b]
+            apart = forest.label[a] != forest.label[b]
+            a, b = a[apart], b[apart]
+            near = _near(fp, a, b, limit)
+            forest.add(a[near], b[near])
+
+
+def near_pairs(fp: np.ndarray, limit: int, share: int = 0, shares: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Verified pairs (i, j) of rows of ``fp``; those of all shares span every component of the pairs within ``limit`` bits.
+
+    A share looks at every ``shares``-th block, but all link what is close in any block first, so a large group isn't compared again and again.
+    """
+    blocks, fp = blocks_for(limit), np.ascontiguousarray(fp.T)
+    forest = Forest(fp.shape[1])
+    for first, width in blocks:
+        value = _value(fp, first, width)
+        order = np.argsort(value)
+        _link(value[order], order, fp, limit, forest)
+    for k in range(share, len(blocks), shares):
+        _meet(fp, blocks, k, limit, forest)
+    return forest.edges()
+
+
+def _spread(chunks: int, shares: int):
+    """Rows for tasks: each pair of chunks by each share of the blocks; one chunk is a pair by itself."""
+    pairs = list(combinations(range(chunks), 2)) or [(0, 0)]
+    tasks = [np.array([p * shares + s for p, pair in enumerate(pairs) if c in pair for s in range(shares)], np.int32) for c in range(chunks)]
+    tasks = np.stack(tasks)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        node = batch.column(0).to_numpy()
+        chunk = (K.mix(node.view(np.uint64), 7) % np.uint64(chunks)).astype(np.int64)
+        at = pa.array(np.repeat(np.arange(len(node)), tasks.shape[1]))
+        cols = [pa.array(tasks[chunk].reshape(-1)), *(batch.column(i).take(at) for i in range(1 + WORDS64))]
+        return pa.RecordBatch.from_arrays(cols, names=["task", "node", *F_NAMES])
+
+    return run, len(pairs) * shares
+
+
+def _verify(limit: int, shares: int):
+    def run(table: pa.Table) -> pa.Table:
+        task, node = table.column(0)[0].as_py(), table.column(1).to_numpy()
+        fp = np.stack([table.column(2 + k).to_numpy().view(np.uint64) for k in range(WORDS64)], 1)
+        i, j = near_pairs(fp, limit, task % shares, shares)
+        return pa.table({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j])})
 
     return run
 
 
 def near_edges(nodes: DataFrame, limit: int = DISTANCE) -> DataFrame:
     """Pairs (a, b) of nodes (rows of node and fingerprint) within ``limit`` bits, enough of them to connect every group."""
-    blocks = map_arrow(nodes.select("node", *F_NAMES), _blocks, f"block int, node bigint, {F_SCHEMA}")
-    blocks = blocks.repartition("block").sortWithinPartitions("block")
-    return blocks.mapInArrow(_verify(limit), "a bigint, b bigint").distinct()
+    count, blocks = nodes.count(), len(blocks_for(limit))
+    chunks = max(1, -(-count // CHUNK))
+    shares = min(blocks, 1 + count // ALONE) if chunks == 1 else max(1, blocks // (chunks - 1))
+    spread, tasks = _spread(chunks, shares)
+    rows = map_arrow(nodes.select("node", *F_NAMES), spread, f"task int, node bigint, {F_SCHEMA}")
+    # more ranges than tasks, so that no two tasks share one
+    rows = rows.repartitionByRange(4 * tasks, "task").groupBy("task")
+    return rows.applyInArrow(_verify(limit, shares), "a bigint, b bigint").distinct()
 
 
 def _groups(docs: DataFrame, limit: int) -> DataFrame:

@@ -161,3 +161,58 @@ def test_large_buckets_report_a_spanning_forest():
     i, j = simhash.bucket_edges(np.zeros(300, np.int64), fp, 54)
     label = _components(300, list(zip(i.tolist(), j.tolist(), strict=True)))
     assert len(i) == 298 and len(set(label)) == 2
+
+
+def _within(fp, limit):
+    found = []
+    for lo in range(0, len(fp), 500):
+        d = sum(np.bitwise_count(fp[lo : lo + 500, None, k] ^ fp[None, :, k]).astype(np.int16) for k in range(5))
+        i, j = np.nonzero(d <= limit)
+        found.append(np.stack([i + lo, j])[:, i + lo < j])
+    return np.concatenate(found, 1)
+
+
+def _apart(bits, seed):
+    """Two fingerprints that differ in ``bits`` bits, spread evenly, so that they agree on no short block."""
+    a = np.random.default_rng(seed).integers(0, 2, 320).astype(np.uint8)
+    b = a.copy()
+    b[(np.arange(bits) * 320 // bits + seed) % 320] ^= 1
+    return np.packbits(np.stack([a, b]), axis=1, bitorder="little").view(np.uint64)
+
+
+def _nodes(spark, fp):
+    rows = [(i, *f) for i, f in enumerate(fp.view(np.int64).tolist())]
+    return spark.createDataFrame(rows, f"node bigint, {simhash.F_SCHEMA}")
+
+
+@pytest.mark.parametrize("sizes", [{}, {"ALONE": 50}, {"CHUNK": 70}, {"CHUNK": 20, "KEYS": 999}])
+def test_no_link_within_the_threshold_is_lost(spark, monkeypatch, sizes):
+    for name, value in sizes.items():
+        monkeypatch.setattr(simhash, name, value)
+    fp = np.concatenate([_apart(54 if s % 2 else 55, s) for s in range(80)])
+    got = {(r["a"], r["b"]) for r in simhash.near_edges(_nodes(spark, fp)).collect()}
+    assert got == {(2 * s, 2 * s + 1) for s in range(80) if s % 2}
+
+
+def test_near_pairs_are_those_of_brute_force(spark, monkeypatch):
+    text = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").limit(6000).toArrow().column(0).combine_chunks()
+    fp, count = simhash.fingerprints(text)
+    fp = np.unique(fp[count > 0], axis=0)
+    want = simhash.Forest(len(fp))
+    want.add(*_within(fp, simhash.DISTANCE))
+    for long, shares in ((32, 1), (2, 3)):
+        monkeypatch.setattr(simhash, "LONG", long)
+        got = simhash.Forest(len(fp))
+        for s in range(shares):
+            i, j = simhash.near_pairs(fp, simhash.DISTANCE, s, shares)
+            assert (np.bitwise_count(fp[i] ^ fp[j]).sum(1) <= simhash.DISTANCE).all()
+            got.add(i, j)
+        assert (got.label == want.label).all() and len(set(want.label)) < len(fp)
+
+
+@pytest.mark.parametrize("limit", [0, 3, 15, 54, 70])
+def test_other_thresholds_lose_nothing_either(limit):
+    fp = np.concatenate([_apart(max(1, limit + s % 2), s) for s in range(30)])
+    i, j = simhash.near_pairs(fp, limit)
+    assert {(min(p), max(p)) for p in zip(i.tolist(), j.tolist(), strict=True)} == set(map(tuple, _within(fp, limit).T.tolist()))
+    assert simhash.near_pairs(fp[:0], limit)[0].size == 0
