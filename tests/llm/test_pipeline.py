@@ -2,8 +2,11 @@ import collections
 import importlib
 import inspect
 
+import numpy as np
+import pyarrow as pa
+
 import corpus_pipeline
-from plumbline.llm import work
+from plumbline.llm import simhash, work
 
 from .common import prose
 
@@ -34,6 +37,21 @@ def test_near_copies_leave_one(spark, tmp_path):
     assert sorted(r["doc_id"] for r in corpus_pipeline.dedup_near(spark, once, SF).collect()) == [1, 3]
 
 
+def test_near_copies_without_a_common_block_leave_one(spark):
+    rows = []
+    for seed in (2, 15, 120, 144, 181, 219, 338):  # 46 to 52 bits apart, but no 12 bits agree with one of their 8
+        base = prose(seed, 120).split()
+        edited = list(base)
+        for at in np.random.default_rng(seed).choice(120, 20 + seed % 12, replace=False):
+            edited[at] = prose(9000 + seed * 200 + int(at), 1)
+        rows += [(2 * seed, " ".join(base), "en", "s", 9), (2 * seed + 1, " ".join(edited), "en", "s", 9)]
+    fp, _ = simhash.fingerprints(pa.array([r[1] for r in rows]))
+    assert (np.bitwise_count(fp[::2] ^ fp[1::2]).sum(1) <= simhash.DISTANCE).all()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    once = corpus_pipeline.dedup_exact(spark, docs, SF)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.dedup_near(spark, once, SF).collect()) == [r[0] for r in rows[::2]]
+
+
 def test_the_shared_folder_is_the_session_s_setting(spark):
     assert work.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     for name in ("exact", "simhash", "substring", "lm", "packing", "quality", "pii", "rules", "components"):
