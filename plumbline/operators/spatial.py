@@ -26,14 +26,12 @@ def overlaps(begin: Column, end: Column, low: Column, high: Column, slack_days:
     return (begin <= high + gap) & (end >= low - gap)
 
 
-def radius_pairs(
-    points: DataFrame, stations: DataFrame, radius_km: float, k: int | None = None, point_key: str = "pt", order: str = "sta"
-) -> DataFrame:
+def radius_pairs(points: DataFrame, stations: DataFrame, radius_km: float, point_key: str = "pt") -> DataFrame:
     """(point_key, station columns, distance_km) of stations within a radius of points (both with lon, lat).
 
     The globe is cut into latitude bands as high as the radius, and each band into cells at least that wide,
-    so a point meets the stations of the 3 x 3 cells around it in an equi-join on the cell.  Ties of
-    distance go by ``order``.  Points with nothing in reach are absent.
+    so a point meets the stations of the 3 x 3 cells around it in an equi-join on the cell.  Points with
+    nothing in reach are absent.  For the k nearest see ``nearest.nearest_k``, which makes no such pairs.
     """
     step = max(radius_km / KM_PER_DEGREE, 1e-6)
     bands = math.ceil(180 / step)
@@ -64,11 +62,7 @@ def radius_pairs(
     there = there.withColumn("cell_b", b).withColumn("cell_c", cell(F.col("lon"), b)).withColumnsRenamed({"lon": "s_lon", "lat": "s_lat"})
     pairs = near.join(small_or_shuffled(there), ["cell_b", "cell_c"])
     pairs = pairs.withColumn("distance_km", haversine_km(F.col("p_lon"), F.col("p_lat"), F.col("s_lon"), F.col("s_lat")))
-    pairs = pairs.where(F.col("distance_km") <= radius_km).drop("cell_b", "cell_c", "p_lon", "p_lat", "s_lon", "s_lat")
-    if k is None:
-        return pairs
-    rank = F.row_number().over(Window.partitionBy(point_key).orderBy("distance_km", order))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+    return pairs.where(F.col("distance_km") <= radius_km).drop("cell_b", "cell_c", "p_lon", "p_lat", "s_lon", "s_lat")
 
 
 def nearest_to(df: DataFrame, lon0: float, lat0: float, n: int) -> DataFrame:
