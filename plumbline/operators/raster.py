@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import finite, is_finite
+from .discs import disc_spreads
 from .sizes import LIMIT_BYTES, plan_bytes, small_or_shuffled
 from .stats import NMAD
 
@@ -112,26 +113,16 @@ def radius(points: DataFrame, cells: DataFrame, grid: Grid, out: str, metres: fl
     """Median, NMAD and count of cells whose centres lie within a radius; outside the raster missing and 0.
 
     Worked out once for each distinct place and joined back to it, so ids don't matter and many points at one place cost as much as one.
+    A place costs the logarithm of what its disc holds (see ``discs``).
     """
     if not (math.isfinite(metres) and metres > 0):
         raise ValueError("the radius must be finite and positive")
     c, r = _place(grid)
-    reach_c, reach_r = math.ceil(metres / abs(grid.dx)) + 1, math.ceil(metres / abs(grid.dy)) + 1
     places = points.where(_inside(c, r, grid)).select(F.col("x").cast("double").alias("p_x"), F.col("y").cast("double").alias("p_y")).distinct()
     c, r = (F.col("p_x") - grid.x0) / grid.dx, (F.col("p_y") - grid.y0) / grid.dy
-    base = places.select("p_x", "p_y", F.floor(c).cast("int").alias("p_c"), F.floor(r).cast("int").alias("p_r"))
-    base = base.withColumn("q_r", F.explode(F.sequence(F.col("p_r") - reach_r, F.col("p_r") + reach_r)))
-    base = base.withColumn("q_c", F.explode(F.sequence(F.col("p_c") - reach_c, F.col("p_c") + reach_c)))
-    ex = grid.x0 + (F.col("q_c") + 0.5) * grid.dx - F.col("p_x")
-    ey = grid.y0 + (F.col("q_r") + 0.5) * grid.dy - F.col("p_y")
-    base = base.where(ex * ex + ey * ey <= metres * metres)
-    hits = base.join(small_or_shuffled(_cells(cells, grid)), (F.col("q_r") == F.col("c_row")) & (F.col("q_c") == F.col("c_col"))).where("c_z is not null")
-    # a neighbourhood is bounded by the radius, so it is held as one array and its median taken twice in place
-    values = hits.groupBy("p_x", "p_y").agg(F.sort_array(F.collect_list("c_z")).alias("v"))
-    middle = lambda a: (F.get(a, F.floor((F.size(a) - 1) / 2).cast("int")) + F.get(a, F.floor(F.size(a) / 2).cast("int"))) / 2
-    stats = values.select("p_x", "p_y", middle(F.col("v")).alias(out), "v")
-    off = F.sort_array(F.transform("v", lambda x: F.abs(x - F.col(out))))
-    stats = stats.select("p_x", "p_y", out, (NMAD * middle(off)).alias(f"{out}_nmad"), F.size("v").cast("long").alias(f"{out}_n"))
+    places = places.select("p_x", "p_y", F.floor(r).cast("int").alias("p_r"), F.floor(c).cast("int").alias("p_c"))
+    found = disc_spreads(places, _cells(cells, grid), grid, metres)
+    stats = found.select("p_x", "p_y", F.col("median").alias(out), (NMAD * F.col("off")).alias(f"{out}_nmad"), F.col("n").alias(f"{out}_n"))
     joined = points.join(stats, (points["x"] == F.col("p_x")) & (points["y"] == F.col("p_y")), "left").drop("p_x", "p_y")
     return joined.withColumn(f"{out}_n", F.coalesce(f"{out}_n", F.lit(0).cast("long")))
 

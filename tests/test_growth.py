@@ -91,3 +91,47 @@ def test_names_break_ties_and_points_without_a_place_stay(spark):
         got = network.interpolate_velocity(pt, st, max_stations=2, min_stations=2, method=method).orderBy("pt").collect()
         assert [(r["pt"], r["n_stations"], r["nearest_sta"], r["quality"]) for r in got] == [(1, 2, "a", "ok")] * 2 + [(2, 0, None, "low_density"), (3, 0, None, "low_density")]
         assert got[0]["vel_n"] == pytest.approx(0.2) and got[2]["vel_e"] is None and got[3]["spread_h"] is None
+
+
+def disc_brute(x, y, cells, grid, metres):
+    z = np.array([v for r, c, v in cells if (grid.x0 + (c + 0.5) * grid.dx - x) ** 2 + (grid.y0 + (r + 0.5) * grid.dy - y) ** 2 <= metres * metres and v is not None])
+    if not len(z) or not (0 <= (x - grid.x0) / grid.dx < grid.width and 0 <= (y - grid.y0) / grid.dy < grid.height):
+        return None, None, 0
+    return np.median(z), 1.4826 * np.median(np.abs(z - np.median(z))), len(z)
+
+
+@pytest.mark.parametrize(("dx", "dy", "metres"), [(1.0, -0.05, 1.2), (0.05, 1.0, 1.2), (1.0, 1.0, 0.3), (0.25, -0.25, 2.0), (0.7, 0.3, 40.0)])
+def test_discs_equal_brute_force(spark, monkeypatch, dx, dy, metres):
+    """Flat and steep cells, gaps, equal values, a cell that is there twice, cells beyond the grid, places on borders and centres."""
+    from plumbline.operators import discs, raster
+
+    monkeypatch.setattr(discs, "LEAST_CELLS", 64)
+    monkeypatch.setattr(discs, "AT_ONCE", 256)
+    rng = random.Random(5)
+    height, width = (120, 12) if abs(dy) < abs(dx) else (12, 120) if abs(dx) < abs(dy) else (40, 40)
+    g = raster.Grid(-5.0, 7.0, dx, dy, height, width)
+    cells = [(r, c, rng.choice([None, 1.0, -0.0, 0.0, rng.uniform(-1, 1), rng.gauss(0, 1e3)])) for r in range(-2, height + 2) for c in range(-2, width + 2) if rng.random() < 0.9]
+    cells += cells[:40]
+    xy = [(g.x0 + rng.uniform(-1, width + 1) * dx, g.y0 + rng.uniform(-1, height + 1) * dy) for _ in range(60)]
+    xy += [(g.x0 + rng.randrange(width) * dx, g.y0 + rng.randrange(height) * dy) for _ in range(20)] + [(g.x0 + (rng.randrange(width) + 0.5) * dx, g.y0 + (rng.randrange(height) + 0.5) * dy) for _ in range(20)]
+    pts = spark.createDataFrame([(i % 7, *p) for i, p in enumerate(xy + xy[:5])] + [(1, None, 1.0), (1, float("nan"), 1.0)], "id int, x double, y double")
+    got = raster.sample(pts, spark.createDataFrame(cells, "row int, col int, z double"), g, metres=metres).collect()
+    assert len(got) == len(xy) + 7
+    for r in got:
+        want = disc_brute(r["x"], r["y"], cells, g, metres) if r["x"] is not None else (None, None, 0)
+        assert (r["h"], r["h_nmad"], r["h_n"]) == want, r
+
+
+def test_discs_make_no_row_for_each_cell(spark):
+    from plumbline.operators import raster
+
+    rows = []
+    for times in (1, 4):
+        n = 200 * times
+        k = F.col("id")
+        cells = spark.range(n * 10).select((k % n).cast("int").alias("row"), F.floor(k / n).cast("int").alias("col"), (k * 7919 % 1009 / 10).alias("z"))
+        pts = spark.range(300 * times).select("id", (k * 31 % 9973 / 1000).alias("x"), (k * 37 % 9967 / 1000).alias("y"))
+        df = raster.sample(pts, cells, raster.Grid(0.0, 0.0, 1.0, 10 / n, n, 10), metres=2.0)
+        df.collect()
+        rows.append(most_rows(df))
+    assert rows[1] < 8 * rows[0]
